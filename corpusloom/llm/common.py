@@ -22,5 +22,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the shared folder of the cluster. Without a setting, as in tests on one machine, a temporary folder serves."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.getConf().get("spark.checkpoint.dir") and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
