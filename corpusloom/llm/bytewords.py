@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 
@@ -67,9 +68,14 @@ def slices(column: pa.Array, most: int):
         i = j
 
 
+def classes(buf: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[buf], by the much faster translation of bytes."""
+    return np.frombuffer(buf.tobytes().translate(table.astype(np.uint8).tobytes()), np.uint8)
+
+
 def boundaries(buf: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words in buf, and the index of each text's first word (one more than there are texts)."""
-    inside = keep[buf]
+    inside = classes(buf, keep).view(bool)
     edge = np.zeros(len(buf) + 1, bool)
     np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
     if len(buf):
@@ -106,20 +112,20 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0)
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for `size` numbers, one run after the other."""
-    total = int(sizes.sum())
     ends = np.cumsum(sizes)
-    return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 2**31 and (not len(starts) or int(starts.max()) + total < 2**31) else np.int64
+    out = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def first_use(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of one of each distinct hash, and for each hash the number of its distinct one."""
-    order = np.argsort(h)
-    ordered = h[order]
-    new = np.ones(len(h), bool)
-    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
-    inverse = np.empty(len(h), np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    return order[new], inverse
+    """A position of each distinct hash, and for each hash the number of its distinct one."""
+    codes, distinct = pd.factorize(h)
+    at = np.empty(len(distinct), np.int64)
+    at[codes] = np.arange(len(h))
+    return at, codes
 
 
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:

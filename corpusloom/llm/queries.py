@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat, sharding, topk, urls
+from corpusloom.llm import chat, packing, sharding, topk, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
             chat.op3_chat_formatting,
             urls.op8_url_filters,
             topk.op9_exact_topk,
+            packing.op7_packing,
             sharding.op10_sharding,
         )
     }
