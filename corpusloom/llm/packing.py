@@ -173,11 +173,11 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
                 sizes = np.diff(offsets)
                 n = -(-sizes // size)
                 row = np.repeat(np.arange(len(sizes)), n)
-                start = ragged(np.zeros(len(n), np.int64), n) * size
+                start = ragged(np.zeros(len(n), np.int64), n).astype(np.int64) * size
                 length = np.minimum(size, sizes[row] - start)
                 data, begin = memoryview(ids.astype("<u4")).cast("B"), offsets[row] + start
                 crc = [zlib.crc32(data[4 * b : 4 * (b + m)]) for b, m in zip(begin.tolist(), length.tolist(), strict=True)]
-                columns = [keys.take(pa.array(first + row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(sizes[row])]
+                columns = [keys.take(pa.array(first + row)), *(pa.array(v, pa.int64()) for v in (start, length, crc, sizes[row]))]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, ids.size), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)])
