@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat, packing, sharding, topk, urls
+from corpusloom.llm import chat, decontamination, langid, packing, sharding, topk, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             chat.op3_chat_formatting,
+            decontamination.op1_decontamination,
+            langid.op2_language_id,
             urls.op8_url_filters,
             topk.op9_exact_topk,
             packing.op7_packing,
