@@ -6,7 +6,7 @@ text's log-probability is the sum over its words, each preceded by the vocabular
 come from expected counts (forward-backward over all segmentations) in rounds of expectation maximisation over a bounded
 sample of labelled texts; a round's counts are summed by Spark and only (language, piece) totals reach the driver.
 
-Words are runs of letters in lower case; each distinct word of a batch is scored once, so a text costs one lookup a word.
+Words are runs of letters in lower case; a task scores each distinct word once, so a text costs one lookup a word.
 
 Defined results: a text that is null or has no letter is `und` with score 0; without any labelled text every text is
 `und`; ties go to the language that sorts first. A score is the probability of the language given the text, all
@@ -163,26 +163,62 @@ def by_length(words: list[str]):
             yield part, flat.reshape(len(part), int(size) + 1).astype(np.uint64)
 
 
-def distinct_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct words of a slice, the number of each word's distinct one, and each text's first word."""
+def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes in lower case; hash, start and end of each distinct word; the number of each word's distinct one; each text's first word."""
     lower = classes(buf, LOWER)
     starts, ends, words = boundaries(lower, offsets, ALPHA)
-    at, inverse = first_use(hashes(lower, starts, ends))
+    h = hashes(lower, starts, ends)
+    at, inverse = first_use(h)
+    return lower, h[at], starts[at], ends[at], inverse, words
+
+
+def spelled(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
     raw = lower.tobytes()
-    return [raw[s:e].decode("utf-8").lower() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], inverse, words
+    return [raw[s:e].decode("utf-8").lower() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+class Scored:
+    """The words scored so far, by hash: log-probabilities, and whether there is a letter. Emptied when there are too many."""
+
+    def __init__(self, pieces: Pieces, probability: np.ndarray, most: int = 1_000_000):
+        self.pieces, self.probability, self.most = pieces, probability, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.logs, self.lettered = np.zeros((0, self.probability.shape[1])), np.zeros(0, bool)
+
+    def __call__(self, lower: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.hash) > self.most:
+            self.forget()
+        at = np.minimum(np.searchsorted(self.hash, h), max(0, len(self.hash) - 1))
+        new = self.hash[at] != h if len(self.hash) else np.ones(len(h), bool)
+        if new.any():
+            words = spelled(lower, starts[new], ends[new])
+            self.slot = np.concatenate([self.slot, np.arange(len(words), dtype=np.int32) + len(self.logs)])
+            self.logs = np.concatenate([self.logs, log_probability(self.pieces, words, self.probability)])
+            self.lettered = np.concatenate([self.lettered, [w.isalpha() or any(map(str.isalpha, w)) for w in words]])
+            every = np.concatenate([self.hash, h[new]])
+            order = np.argsort(every)
+            self.hash, self.slot = every[order], self.slot[order]
+            at = np.searchsorted(self.hash, h)
+        slot = self.slot[at]
+        return self.logs[slot], self.lettered[slot]
 
 
 class Model:
     def __init__(self, languages: list[str], pieces: list[str], probability: np.ndarray):
         self.languages, self.pieces, self.probability = languages, Pieces(pieces), probability
 
-    def scores(self, column: pa.Array) -> tuple[list[str], list[float]]:
+    def scored(self) -> Scored:
+        return Scored(self.pieces, self.probability)
+
+    def scores(self, column: pa.Array, scored: Scored) -> tuple[list[str], list[float]]:
         """The language and the score of each text."""
         names, scores = [], []
         for _, buf, offsets in slices(column, SLICE):
-            words, inverse, first = distinct_words(buf, offsets)
-            logs = log_probability(self.pieces, words, self.probability)
-            lettered = np.array([any(map(str.isalpha, w)) for w in words], bool)
+            lower, h, starts, ends, inverse, first = words_of(buf, offsets)
+            logs, lettered = scored(lower, h, starts, ends)
             n = len(offsets) - 1
             total = np.zeros((n, len(self.languages)))
             row = np.repeat(np.arange(n), np.diff(first))
@@ -224,7 +260,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
                 for k, name in enumerate(languages):
                     chosen = column_of(batch, "text").filter(pa.array(lang == name))
                     for _, buf, offsets in slices(chosen, SLICE):
-                        words, inverse, _ = distinct_words(buf, offsets)
+                        lower, _, starts, ends, inverse, _ = words_of(buf, offsets)
+                        words = spelled(lower, starts, ends)
                         sums[:, k] += expected(own, words, np.bincount(inverse, minlength=len(words)).astype(float), p[:, k])
             piece, k = np.nonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(k, pa.int64()), pa.array(sums[piece, k])], ["piece", "k", "n"])
@@ -246,8 +283,9 @@ def identified(docs: DataFrame, model: Model | None, keep: list[str] | None = No
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = sent.value.scored()
         for batch in batches:
-            names, scores = sent.value.scores(column_of(batch, "_text"))
+            names, scores = sent.value.scores(column_of(batch, "_text"), scored)
             yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
     schema = T.StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double")
