@@ -234,7 +234,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, t
                 hits = np.diff(np.concatenate([[0], np.cumsum(hit)])[words])
                 n_items = np.bincount(doc, minlength=len(hits))
                 digest, cuts = [hashlib.sha256(b"").hexdigest()] * len(hits), [[] for _ in hits] if spans else []
-                for i, ids in zip(np.flatnonzero(n_items), np.split(item, np.cumsum(n_items[n_items > 0])[:-1]), strict=True):
+                found = np.cumsum(n_items)
+                for i in np.flatnonzero(n_items):
+                    ids = item[found[i] - n_items[i] : found[i]]
                     digest[i] = hashlib.sha256(",".join(sorted(str(windows.ids[j]) for j in ids)).encode()).hexdigest()
                     if spans:
                         w = slice(words[i], words[i + 1])
