@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,11 +19,23 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder of the cluster. Without a setting, as in tests on one machine, a temporary folder serves."""
-    context = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of the cluster. Without a setting, as in tests on one machine, a temporary folder serves."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.getConf().get("spark.checkpoint.dir") and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, which is smaller than a checkpoint."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
