@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat, decontamination, langid, packing, sharding, topk, urls
+from corpusloom.llm import chat, decontamination, langid, linededup, neardup, packing, sharding, topk, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
             chat.op3_chat_formatting,
             decontamination.op1_decontamination,
             langid.op2_language_id,
+            neardup.op4_minhash_near_dedup,
+            linededup.op5_line_dedup,
             urls.op8_url_filters,
             topk.op9_exact_topk,
             packing.op7_packing,
