@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat, decontamination, langid, linededup, neardup, packing, sharding, topk, urls
+from corpusloom.llm import chat, decontamination, html, langid, linededup, neardup, packing, sharding, topk, urls
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
             langid.op2_language_id,
             neardup.op4_minhash_near_dedup,
             linededup.op5_line_dedup,
+            html.op6_html_extraction,
             urls.op8_url_filters,
             topk.op9_exact_topk,
             packing.op7_packing,
