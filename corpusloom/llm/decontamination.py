@@ -216,7 +216,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, t
     """Columns of docs (`keep`, or all) with n_words, n_hit, n_items, items_sha256, contaminated and, if asked for, spans.
 
     Columns of docs of these names are replaced."""
-    own = [("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean")] + [("spans", T.ArrayType(T.StructType().add("begin", "int").add("end", "int")))] * spans
+    own = [("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean")] + [("spans", T.ArrayType(T.StructType().add("begin", "integer").add("end", "integer")))] * spans
     kept = [c for c in (docs.columns if keep is None else keep) if c not in dict(own) and c != "_text"]
     sizes = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if sizes > MOST_BYTES:
