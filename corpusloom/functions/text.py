@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 WS = r"[\s\x1c-\x1f]"
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+def nfkc(c: Column) -> Column:
+    """Unicode form NFKC, which Spark lacks: the one Arrow function here."""
+
+    @F.pandas_udf("string")
+    def form(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
+    return form(c)
 
 
 def strip(c: Column) -> Column:

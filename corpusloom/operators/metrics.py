@@ -14,7 +14,7 @@ def ngrams(items: Column, n: int) -> Column:
 
 def overlap(hyp: DataFrame, key: str = "id") -> DataFrame:
     """key, kind, n, hyp, ref, match of long rows (key, kind, n, side, gram): clipped counts of every order of every row."""
-    each = hyp.groupBy(key, "kind", "n", "gram").agg(F.count_if("side = 'h'").alias("h"), F.count_if("side = 'r'").alias("r"))
+    each = hyp.groupBy(key, "kind", "n", "gram").agg(F.count_if(F.col("side") == "h").alias("h"), F.count_if(F.col("side") == "r").alias("r"))
     return each.groupBy(key, "kind", "n").agg(F.sum("h").alias("hyp"), F.sum("r").alias("ref"), F.sum(F.least("h", "r")).alias("match"))
 
 

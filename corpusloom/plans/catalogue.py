@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-_MODULES: tuple = ()
+from corpusloom.plans import curation
+
+_MODULES = (curation,)
 
 
 def queries() -> dict:
