@@ -6,7 +6,7 @@
    tree are a region; a region of over REGION classes goes deeper, to twice and four times as many, until it is small
    enough, so depth adapts to the density of the place. Inside a region each class is compared with its neighbours of
    longest common prefix, and a maximum spanning forest over the estimated similarities joins what could be linked at
-   all; at most three edges a class leave a region. At full depth an oversized region is cut along its order, each cut
+   all; one edge a class at most leaves a region, to the least of its part. At full depth an oversized region is cut along its order, each cut
    joined to the region's least class.
 3. The connected parts of these candidate edges are blocks: whatever could be linked is in one block. Blocks are confirmed
    exactly: their texts' full sets go, in tiles of bounded size, to tasks that intersect each pair of tiles and give back
@@ -147,7 +147,20 @@ def forest_edges(classes_: DataFrame) -> DataFrame:
                 same = (sig == sig[at]).mean(axis=1)
                 better = left & (same > best)
                 best[better], source[better] = same[better], at
-        return pd.DataFrame({"a": node[np.concatenate(a)], "b": node[np.concatenate(b)]})
+        # What is joined here is told by one edge a class, to the least of its part, which is the same edge in many trees.
+        root = np.arange(n)
+        a, b = np.concatenate(a), np.concatenate(b)
+        while True:
+            low = np.minimum(root[a], root[b])
+            now = root.copy()
+            np.minimum.at(now, a, low)
+            np.minimum.at(now, b, low)
+            if (now == root).all():
+                break
+            root = now[now]
+        least = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(least, root, node)
+        return pd.DataFrame({"a": least[root], "b": node}).query("a != b")
 
     inside = wide.groupBy("k1", "cut").applyInPandas(region, "a long, b long")
     return written(inside.unionByName(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -225,7 +238,7 @@ def true_links(docs: DataFrame, rows: DataFrame, blocks: DataFrame, key: str, te
             raw = [s.tobytes() for s, g in zip(made, good, strict=True) if g]
             yield pa.RecordBatch.from_arrays([*(column_of(part, c) for c in ("node", "label", "tile", "tiles")), pa.array(raw, pa.binary())], ["node", "label", "tile", "tiles", "shingles"])
 
-    wanted = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(placed.select("doc_id", "node", "label", "tile", "tiles"), "doc_id").select("text", "node", "label", "tile", "tiles")
+    wanted = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(placed.select("doc_id", "node", "label", "tile", "tiles").hint("merge"), "doc_id").select("text", "node", "label", "tile", "tiles")
     full = wanted.mapInArrow(sets, "node long, label long, tile long, tiles long, shingles binary")
     tiles = written(full.groupBy("label", "tile").agg(F.first("tiles").alias("tiles"), F.collect_list(F.struct("node", "shingles")).alias("t")))
 
