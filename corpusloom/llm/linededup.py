@@ -37,39 +37,52 @@ SPACE = r"[ \t\x0B\f\r]+"
 LINE = ["_h", "_g"]
 
 
-def _lines(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """_id, _line, _text with single spaces, _n (words) and the two hashes of every line with at least `least` words."""
+def _count(text: str, what: str) -> Column:
+    """How often a one-byte string stands in a text: by bytes, which costs much less than by characters."""
+    return (F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit(what), F.lit("")))).cast("int")
+
+
+def _lines(docs: DataFrame, key: str, text: str, exact: int, near: int) -> DataFrame:
+    """_id, _line, _n (words) and the two hashes of every line with at least `exact` words; of one with `near` words also _text with single spaces, and _ends, the hashes of its ends."""
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("_line", "_raw"))
     # Most lines have nothing to replace, and looking is much cheaper.
     uneven = reduce(Column.__or__, [F.contains("_raw", F.lit(x)) for x in ("  ", "\t", "\r", "\f", "\x0b")])
     rows = rows.select("_id", "_line", F.trim(F.when(uneven, F.regexp_replace("_raw", SPACE, " ")).otherwise(F.col("_raw"))).alias("_text"))
-    rows = rows.withColumn("_n", F.length("_text") - F.length(F.replace("_text", F.lit(" "), F.lit(""))) + 1).where(F.col("_n") >= least)
-    return rows.withColumn("_h", F.xxhash64("_text")).withColumn("_g", F.xxhash64(F.lit(1), "_text"))
+    rows = rows.withColumn("_n", _count("_text", " ") + 1).where(F.col("_n") >= exact)
 
-
-def _near(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The hashes of the lines that lie within one edit of an earlier one. firsts: their hashes and _first (id, line)."""
-    words = lines.select(*LINE, F.split("_text", " ").alias("_w"))
     # A line of n words meets lines of n - 1, n and n + 1: the ends are of floor((n - 1) / 2) words for the larger n.
-    halves = F.array_distinct(F.array(F.floor((F.size("_w") - 1) / 2), F.floor(F.size("_w") / 2))).cast("array<int>")
-    ends = words.select(*LINE, F.explode(halves).alias("_m"), "_w")
-    sides = F.array(F.xxhash64(F.lit(0), F.slice("_w", F.lit(1), F.col("_m"))), F.xxhash64(F.lit(1), F.slice("_w", F.size("_w") - F.col("_m") + 1, F.col("_m"))))
-    ends = ends.select(*LINE, F.explode(sides).alias("_end"))
+    def sides(m: str) -> list[Column]:
+        return [F.expr(f"xxhash64(0, {m}, substring_index(_text, ' ', {m}))"), F.expr(f"xxhash64(1, {m}, substring_index(_text, ' ', -{m}))")]
+
+    low, high = sides("cast((_n - 1) div 2 AS int)"), sides("cast(_n div 2 AS int)")
+    ends = F.when(F.col("_n") % 2 == 1, F.array(*low)).otherwise(F.array(*low, *high))
+    long = F.col("_n") >= near
+    return rows.select("_id", "_line", "_n", F.xxhash64("_text").alias("_h"), F.xxhash64(F.lit(1), "_text").alias("_g"), F.when(long, F.col("_text")).alias("_text"), F.when(long, ends).alias("_ends"))
+
+
+def _suspects(lines: DataFrame) -> DataFrame:
+    """The hashes of the lines that share an end with another line."""
+    ends = lines.where("_ends IS NOT NULL").select(*LINE, F.explode("_ends").alias("_end"))
     shared = written(ends.groupBy("_end").agg(F.min("_h").alias("_a"), F.max("_h").alias("_b")).where("_a <> _b").select("_end"))
-    chosen = written(ends.join(shared, "_end", "left_semi").select(*LINE).distinct())
-    texts = lines.select(*LINE, "_text").join(chosen, LINE, "left_semi").groupBy(*LINE).agg(F.first("_text").alias("_text"))
-    suspects = written(texts.join(firsts, LINE).select(*LINE, "_first", F.split("_text", " ").alias("_w")))
+    return ends.join(shared.hint("merge"), "_end", "left_semi").select(*LINE).distinct()
+
 
-    each = suspects.select(*LINE, "_first", F.posexplode("_w").alias("_i", "_word"))
-    each = each.select(*LINE, "_first", "_i", F.xxhash64("_word", "_i").alias("_z"), F.xxhash64("_word", F.col("_i") - 1).alias("_y"))
+def _near(suspects: DataFrame) -> DataFrame:
+    """The hashes of the lines that lie within one edit of an earlier one. suspects: hashes, _first (id, line) and _w (words)."""
+    each = suspects.select(*LINE, F.posexplode("_w").alias("_i", "_word"))
+    each = each.select(*LINE, "_i", F.xxhash64("_word", "_i").alias("_z"), F.xxhash64("_word", F.col("_i") - 1).alias("_y"))
     line = Window.partitionBy(*LINE)
     running = line.orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     xor = F.expr("bit_xor(_z)"), F.expr("bit_xor(_y)")
-    each = each.select(*LINE, "_first", "_i", "_z", xor[0].over(running).alias("_to_z"), xor[1].over(running).alias("_to_y"), xor[0].over(line).alias("_all_z"), xor[1].over(line).alias("_all_y"))
+    each = each.select(*LINE, "_i", "_z", xor[0].over(running).alias("_to_z"), xor[1].over(running).alias("_to_y"), xor[0].over(line).alias("_all_z"), xor[1].over(line).alias("_all_y"))
     without = F.struct(F.expr("_to_z ^ _z ^ _all_y ^ _to_y").alias("_v"), F.col("_i"))
     whole = F.struct(F.col("_all_z").alias("_v"), F.lit(-1).alias("_i"))
-    variants = each.select(*LINE, "_first", F.explode(F.when(F.col("_i") == 0, F.array(without, whole)).otherwise(F.array(without))).alias("_x"))
-    variants = written(variants.select("_x._v", "_x._i", *LINE, "_first"))
+    variants = each.select(*LINE, F.explode(F.when(F.col("_i") == 0, F.array(without, whole)).otherwise(F.array(without))).alias("_x"))
+    variants = written(variants.select("_x._v", "_x._i", *LINE))
+    # Nearly all variants are nobody else's; those go before anything is ordered or joined.
+    common = variants.groupBy("_v").agg(F.count("*").alias("_c")).where("_c > 1").select("_v")
+    variants = variants.join(common.hint("merge"), "_v", "left_semi").join(suspects.select(*LINE, "_first"), LINE)
+    variants = written(variants.select("_v", "_i", *LINE, "_first"))
 
     me, other = F.struct("_first", *LINE), ["_oh", "_og"]
     hubs = variants.where("_i >= 0").groupBy("_v", "_i").agg(F.min(me).alias("_m"), F.count("*").alias("_c")).where("_c > 1")
@@ -82,7 +95,7 @@ def _near(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     pairs = replaced.unionByName(added).distinct()
     theirs = suspects.select(F.col("_h").alias("_oh"), F.col("_g").alias("_og"), F.col("_w").alias("_ow"))
     verified = pairs.join(suspects.select(*LINE, "_w"), LINE).join(theirs, other).where(within_one("_w", "_ow"))
-    return written(verified.select(*LINE).distinct())
+    return verified.select(*LINE).distinct()
 
 
 def within_one(a: str, b: str) -> Column:
@@ -102,12 +115,19 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", exact_word
     if near_words < exact_words or exact_words < 1:
         raise ValueError("need 1 <= exact_words <= near_words")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near", "_gone", "_id")]
-    lines = written(_lines(docs, key, text, exact_words))
-    firsts = written(lines.groupBy(*LINE).agg(F.min(F.struct("_id", "_line")).alias("_first"), F.count("*").alias("_c"), F.max("_n").alias("_n")))
-    near = _near(lines.where(F.col("_n") >= near_words), firsts.where(F.col("_n") >= near_words).select(*LINE, "_first"))
-    fate = firsts.join(near.withColumn("_near", F.lit(True)), LINE, "left").where("_c > 1 OR _near")
+    lines = written(_lines(docs, key, text, exact_words, near_words))
+    repeated = lines.groupBy(*LINE).agg(F.count("*").alias("_c")).where("_c > 1").select(*LINE, F.lit(False).alias("_near"))
+    asked = repeated.unionByName(_suspects(lines).withColumn("_near", F.lit(True))).groupBy(*LINE).agg(F.max("_near").alias("_near"))
+    places = written(lines.select(*LINE, "_id", "_line").join(asked.hint("merge"), LINE))
+    firsts = written(places.groupBy(*LINE).agg(F.min(F.struct("_id", "_line")).alias("_first"), F.max("_near").alias("_near"), F.count("*").alias("_c")))
+    # A text is looked up where its line stands first, so no key is hot.
+    at = firsts.where("_near").select(*LINE, F.col("_first._id").alias("_fid"), F.col("_first._line").alias("_line"), "_first").alias("f")
+    texts = lines.where("_text IS NOT NULL").select(*LINE, "_id", "_line", "_text").join(at.hint("merge"), (F.col("_id").eqNullSafe(F.col("_fid"))) & reduce(Column.__and__, [lines[c] == F.col(f"f.{c}") for c in (*LINE, "_line")]))
+    suspects = written(texts.select(*[lines[c] for c in LINE], "_first", "_text").dropDuplicates(LINE).select(*LINE, "_first", F.split("_text", " ").alias("_w")))
+    near = _near(suspects)
+    fate = firsts.drop("_near").join(near.withColumn("_near", F.lit(True)), LINE, "left").where("_c > 1 OR _near")
     fate = written(fate.select(*LINE, "_first", F.coalesce("_near", F.lit(False)).alias("_near")))
-    places = lines.select(*LINE, "_id", "_line").join(fate, LINE)
+    places = places.select(*LINE, "_id", "_line").join(fate, LINE)
     later = ~(F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_line") == F.col("_first._line")))
     places = places.where(later | F.col("_near")).select("_id", "_line", later.alias("_later")).distinct()
     gone = places.groupBy("_id").agg(F.collect_list("_line").alias("_gone"), F.count_if("_later").alias("n_exact"), F.count_if(~F.col("_later")).alias("n_near"))
@@ -115,7 +135,7 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", exact_word
     # The outer transform binds the split text once.
     rest = F.expr(f"transform(array(split({text}, '\\n', -1)), l -> array_join(transform(array_except(sequence(0, size(l) - 1), _gone), i -> l[i]), '\\n'))[0]")
     cut = F.when(F.col("_gone").isNull() | F.col(text).isNull(), F.col(text)).otherwise(rest)
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.translate(F.col(text), "\n", "")) + 1)
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(_count(text, "\n") + 1)
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_exact", "n_near")]
     return out.select(*[cut.alias(c) if c == text else F.col(c) for c in kept], n_lines.cast("long").alias("n_lines"), *counts)
 
