@@ -35,6 +35,8 @@ SPACE = r"[ \t\x0B\f\r]+"
 
 
 LINE = ["_h", "_g"]
+#: How a table with one short row a key joins a larger one: its share of the keys is hashed in each task, and the larger side is not sorted.
+UNIQUE = "shuffle_hash"
 
 
 def _count(text: str, what: str) -> Column:
@@ -44,10 +46,11 @@ def _count(text: str, what: str) -> Column:
 
 def _lines(docs: DataFrame, key: str, text: str, exact: int, near: int) -> DataFrame:
     """_id, _line, _n (words) and the two hashes of every line with at least `exact` words; of one with `near` words also _text with single spaces, and _ends, the hashes of its ends."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("_line", "_raw"))
-    # Most lines have nothing to replace, and looking is much cheaper.
-    uneven = reduce(Column.__or__, [F.contains("_raw", F.lit(x)) for x in ("  ", "\t", "\r", "\f", "\x0b")])
-    rows = rows.select("_id", "_line", F.trim(F.when(uneven, F.regexp_replace("_raw", SPACE, " ")).otherwise(F.col("_raw"))).alias("_text"))
+    # Most texts have nothing to replace, and looking is much cheaper; a whole text is looked at once, before it is cut.
+    uneven = reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in ("  ", "\t", "\r", "\f", "\x0b")])
+    even = F.when(uneven, F.regexp_replace(text, SPACE, " ")).otherwise(F.col(text))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.posexplode(F.split(even, "\n", -1)).alias("_line", "_raw"))
+    rows = rows.select("_id", "_line", F.trim("_raw").alias("_text"))
     rows = rows.withColumn("_n", _count("_text", " ") + 1).where(F.col("_n") >= exact)
 
     # A line of n words meets lines of n - 1, n and n + 1: the ends are of floor((n - 1) / 2) words for the larger n.
@@ -64,7 +67,7 @@ def _suspects(lines: DataFrame) -> DataFrame:
     """The hashes of the lines that share an end with another line."""
     ends = lines.where("_ends IS NOT NULL").select(*LINE, F.explode("_ends").alias("_end"))
     shared = written(ends.groupBy("_end").agg(F.min("_h").alias("_a"), F.max("_h").alias("_b")).where("_a <> _b").select("_end"))
-    return ends.join(shared.hint("merge"), "_end", "left_semi").select(*LINE).distinct()
+    return ends.join(shared.hint(UNIQUE), "_end", "left_semi").select(*LINE).distinct()
 
 
 def _near(suspects: DataFrame) -> DataFrame:
@@ -81,7 +84,7 @@ def _near(suspects: DataFrame) -> DataFrame:
     variants = written(variants.select("_x._v", "_x._i", *LINE))
     # Nearly all variants are nobody else's; those go before anything is ordered or joined.
     common = variants.groupBy("_v").agg(F.count("*").alias("_c")).where("_c > 1").select("_v")
-    variants = variants.join(common.hint("merge"), "_v", "left_semi").join(suspects.select(*LINE, "_first"), LINE)
+    variants = variants.join(common.hint(UNIQUE), "_v", "left_semi").join(suspects.select(*LINE, "_first"), LINE)
     variants = written(variants.select("_v", "_i", *LINE, "_first"))
 
     me, other = F.struct("_first", *LINE), ["_oh", "_og"]
@@ -118,11 +121,11 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", exact_word
     lines = written(_lines(docs, key, text, exact_words, near_words))
     repeated = lines.groupBy(*LINE).agg(F.count("*").alias("_c")).where("_c > 1").select(*LINE, F.lit(False).alias("_near"))
     asked = repeated.unionByName(_suspects(lines).withColumn("_near", F.lit(True))).groupBy(*LINE).agg(F.max("_near").alias("_near"))
-    places = written(lines.select(*LINE, "_id", "_line").join(asked.hint("merge"), LINE))
+    places = written(lines.select(*LINE, "_id", "_line").join(asked.hint(UNIQUE), LINE))
     firsts = written(places.groupBy(*LINE).agg(F.min(F.struct("_id", "_line")).alias("_first"), F.max("_near").alias("_near"), F.count("*").alias("_c")))
     # A text is looked up where its line stands first, so no key is hot.
     at = firsts.where("_near").select(*LINE, F.col("_first._id").alias("_fid"), F.col("_first._line").alias("_line"), "_first").alias("f")
-    texts = lines.where("_text IS NOT NULL").select(*LINE, "_id", "_line", "_text").join(at.hint("merge"), (F.col("_id").eqNullSafe(F.col("_fid"))) & reduce(Column.__and__, [lines[c] == F.col(f"f.{c}") for c in (*LINE, "_line")]))
+    texts = lines.where("_text IS NOT NULL").select(*LINE, "_id", "_line", "_text").join(at.hint(UNIQUE), (F.col("_id").eqNullSafe(F.col("_fid"))) & reduce(Column.__and__, [lines[c] == F.col(f"f.{c}") for c in (*LINE, "_line")]))
     suspects = written(texts.select(*[lines[c] for c in LINE], "_first", "_text").dropDuplicates(LINE).select(*LINE, "_first", F.split("_text", " ").alias("_w")))
     near = _near(suspects)
     fate = firsts.drop("_near").join(near.withColumn("_near", F.lit(True)), LINE, "left").where("_c > 1 OR _near")
@@ -131,7 +134,7 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", exact_word
     later = ~(F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_line") == F.col("_first._line")))
     places = places.where(later | F.col("_near")).select("_id", "_line", later.alias("_later")).distinct()
     gone = places.groupBy("_id").agg(F.collect_list("_line").alias("_gone"), F.count_if("_later").alias("n_exact"), F.count_if(~F.col("_later")).alias("n_near"))
-    out = docs.select(*kept, F.col(key).alias("_id")).alias("d").join(gone.alias("g"), F.col("d._id").eqNullSafe(F.col("g._id")), "left")
+    out = docs.select(*kept, F.col(key).alias("_id")).alias("d").join(gone.alias("g").hint(UNIQUE), F.col("d._id").eqNullSafe(F.col("g._id")), "left")
     # The outer transform binds the split text once.
     rest = F.expr(f"transform(array(split({text}, '\\n', -1)), l -> array_join(transform(array_except(sequence(0, size(l) - 1), _gone), i -> l[i]), '\\n'))[0]")
     cut = F.when(F.col("_gone").isNull() | F.col(text).isNull(), F.col(text)).otherwise(rest)
