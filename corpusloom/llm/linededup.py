@@ -120,7 +120,8 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", exact_word
     kept = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near", "_gone", "_id")]
     lines = written(_lines(docs, key, text, exact_words, near_words))
     repeated = lines.groupBy(*LINE).agg(F.count("*").alias("_c")).where("_c > 1").select(*LINE, F.lit(False).alias("_near"))
-    asked = repeated.unionByName(_suspects(lines).withColumn("_near", F.lit(True))).groupBy(*LINE).agg(F.max("_near").alias("_near"))
+    # Written, so that the join below reads both sides from shuffles and a hot line's places can be split.
+    asked = written(repeated.unionByName(_suspects(lines).withColumn("_near", F.lit(True))).groupBy(*LINE).agg(F.max("_near").alias("_near")))
     places = written(lines.select(*LINE, "_id", "_line").join(asked.hint(UNIQUE), LINE))
     firsts = written(places.groupBy(*LINE).agg(F.min(F.struct("_id", "_line")).alias("_first"), F.max("_near").alias("_near"), F.count("*").alias("_c")))
     # A text is looked up where its line stands first, so no key is hot.
