@@ -38,6 +38,8 @@ by_value(__name__)
 
 TREES, DEPTH = 20, 4
 REGION, TILE_TEXTS, TILE_SHINGLES = 1000, 128, 1 << 17
+#: Rows of whole regions that go to Python at once, on average; a region has about REGION at most.
+LOT = 20000
 LEAST = 0.65
 SLICE = 6 << 20
 _ODD = np.random.default_rng(20).integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -126,17 +128,19 @@ def forest_edges(classes_: DataFrame) -> DataFrame:
     members = members.withColumn("cut", F.when(cuts > 1, F.pmod(F.xxhash64("node"), cuts)).otherwise(F.lit(0)).cast("long"))
     over = members.where(F.col("c") > REGION)
     across = over.groupBy("k1", "cut").agg(F.min("node").alias("b")).join(over.groupBy("k1").agg(F.min("node").alias("a")), "k1").where("a <> b").select("a", "b")
-    wide = members.select("k1", "cut", "tree", "node").join(classes_.select("node", "signature"), "node")
+    wide = members.select("k1", "cut", "tree", "node").join(classes_.select("node", "signature").hint("merge"), "node")
 
-    def region(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), -1)
-        order = np.lexsort(sig[:, tree_order(int(pdf["tree"].iloc[0]))[::-1]].T)
-        sig, node = sig[order], pdf["node"].to_numpy()[order]
+    def region(sig: np.ndarray, node: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(node)
+        if n == 2:
+            near = (sig[0] == sig[1]).mean() >= LEAST
+            return np.full(int(near), node.min()), np.full(int(near), node.max())
+        order = np.lexsort(sig[:, tree_order(tree)[::-1]].T)
+        sig, node = sig[order], node[order]
         close = (sig[1:] == sig[:-1]).mean(axis=1) >= LEAST  # neighbours in order have the longest common prefix
         i = np.flatnonzero(close)
         a, b = [i], [i + 1]
-        if n > 2:  # a maximum spanning forest, by Prim's algorithm, one row of similarities at a time
+        if n > 1:  # a maximum spanning forest, by Prim's algorithm, one row of similarities at a time
             best, source, left = np.full(n, -1.0), np.full(n, -1), np.ones(n, bool)
             for _ in range(n):
                 at = int(np.where(left, best, -2.0).argmax())
@@ -160,9 +164,21 @@ def forest_edges(classes_: DataFrame) -> DataFrame:
             root = now[now]
         least = np.full(n, np.iinfo(np.int64).max)
         np.minimum.at(least, root, node)
-        return pd.DataFrame({"a": least[root], "b": node}).query("a != b")
-
-    inside = wide.groupBy("k1", "cut").applyInPandas(region, "a long, b long")
+        return least[root], node
+
+    def lot(pdf: pd.DataFrame) -> pd.DataFrame:
+        # Most regions have two or three classes, so many go through one call.
+        k1, cut, tree, node = (pdf[c].to_numpy() for c in ("k1", "cut", "tree", "node"))
+        order = np.lexsort((cut, k1))
+        k1, cut, tree, node = k1[order], cut[order], tree[order], node[order]
+        sig = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), -1)[order]
+        edge = np.flatnonzero((k1[1:] != k1[:-1]) | (cut[1:] != cut[:-1])) + 1
+        found = [region(sig[i:j], node[i:j], int(tree[i])) for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(k1)], strict=True)]
+        out = pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])})
+        return out.query("a != b").drop_duplicates()
+
+    lots = max(1, -(-members.count() // LOT))
+    inside = wide.withColumn("lot", F.pmod(F.xxhash64("k1", "cut"), F.lit(lots))).groupBy("lot").applyInPandas(lot, "a long, b long")
     return written(inside.unionByName(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
