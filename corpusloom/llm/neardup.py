@@ -179,7 +179,15 @@ def forest_edges(classes_: DataFrame) -> DataFrame:
 
     lots = max(1, -(-members.count() // LOT))
     inside = wide.withColumn("lot", F.pmod(F.xxhash64("k1", "cut"), F.lit(lots))).groupBy("lot").applyInPandas(lot, "a long, b long")
-    return written(inside.unionByName(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = inside.unionByName(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return written(drawn_in(found))
+
+
+def drawn_in(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b), a < b, of the same components: each b keeps one, to its least partner, which takes over b's others. A class has two partners a tree at most."""
+    stars = edges.groupBy("b").agg(F.collect_set("a").alias("_all")).select("b", F.array_min("_all").alias("a"), "_all")
+    ends = F.concat(F.array("b"), F.filter("_all", lambda x: x != F.col("a")))
+    return stars.select("a", F.explode(ends).alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
