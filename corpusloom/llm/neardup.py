@@ -204,8 +204,8 @@ def components(edges: DataFrame) -> DataFrame:
         labels = now.select("node", "label")
 
 
-def tile_links(nodes: list[int], sets: list[np.ndarray], split: int, num: int, den: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the true links between the sets before `split` and those from it on (of all, if split is 0)."""
+def tile_links(nodes: list[int], sets: list[np.ndarray], split: int, num: int, den: int, known: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """A spanning forest of the true links between the sets before `split` and those from it on (of all, if split is 0), less what `known` links join already."""
     first, second = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
@@ -237,6 +237,9 @@ def tile_links(nodes: list[int], sets: list[np.ndarray], split: int, num: int, d
         return x
 
     a, b = [], []
+    at = {node: k for k, node in enumerate(nodes)}
+    for x, y in known:
+        parent[root(at[x])] = root(at[y])
     for x, y in zip(i.tolist(), j.tolist(), strict=True):
         p, q = root(x), root(y)
         if p != q:
@@ -266,20 +269,39 @@ def true_links(docs: DataFrame, rows: DataFrame, blocks: DataFrame, key: str, te
     full = wanted.mapInArrow(sets, "node long, label long, tile long, tiles long, shingles binary")
     tiles = written(full.groupBy("label", "tile").agg(F.first("tiles").alias("tiles"), F.collect_list(F.struct("node", "shingles")).alias("t")))
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def forest(t: list[dict], u: list[dict], known: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+        # Equal names are one class, met again if rows repeat.
+        left = {x["node"]: np.frombuffer(x["shingles"], np.uint64) for x in t}
+        right = {x["node"]: np.frombuffer(x["shingles"], np.uint64) for x in u}
+        return tile_links([*left, *right], [*left.values(), *right.values()], len(left) if right else 0, num, den, known)
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [forest(t, [], []) for t in column_of(batch, "t").to_pylist()]
+            edges = [pa.array([m[i] for m in made], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in names), *edges], [*names, "a", "b"])
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in column_of(batch, "t").to_pylist():
+                a, b = forest(t, [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, u in zip(column_of(batch, "t").to_pylist(), column_of(batch, "u").to_pylist(), strict=True):
-                # Equal names are one class, met again if rows repeat.
-                left = {x["node"]: np.frombuffer(x["shingles"], np.uint64) for x in t}
-                right = {x["node"]: np.frombuffer(x["shingles"], np.uint64) for x in u or ()}
-                a, b = tile_links([*left, *right], [*left.values(), *right.values()], len(left) if right else 0, num, den)
+            for r in batch.to_pylist():
+                # What is linked inside a tile is known, so a pair of tiles only tells what it joins anew.
+                a, b = forest(r["t"], r["u"], [*zip(r["a"], r["b"], strict=True), *zip(r["c"], r["d"], strict=True)])
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    alone = tiles.select("t", F.lit(None).cast(tiles.schema["t"].dataType).alias("u"))
-    several = tiles.where("tiles > 1")
-    left = several.select("label", "t", F.explode(F.sequence(F.col("tile") + 1, F.col("tiles"))).alias("tile"))
-    pairs = left.join(several.select("label", "tile", F.col("t").alias("u")), ["label", "tile"]).select("t", "u")
-    return written(alone.unionByName(pairs).mapInArrow(links, "a long, b long"))
+    several, names = tiles.where("tiles > 1"), tiles.columns
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in several.schema)
+    several = written(several.mapInArrow(inside, f"{kind}, a array<long>, b array<long>"))
+    own = several.select(F.explode(F.arrays_zip("a", "b")).alias("x")).select("x.a", "x.b")
+    left = several.where("tile + 1 < tiles").select("label", "t", "a", "b", F.explode(F.sequence(F.col("tile") + 1, F.col("tiles") - 1)).alias("tile"))
+    pairs = left.join(several.select("label", "tile", F.col("t").alias("u"), F.col("a").alias("c"), F.col("b").alias("d")), ["label", "tile"]).select("t", "u", "a", "b", "c", "d")
+    one = tiles.where("tiles = 1").select("t").mapInArrow(alone, "a long, b long")
+    return written(one.unionByName(own).unionByName(pairs.mapInArrow(across, "a long, b long")))
 
 
 def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 85, den: int = 100) -> DataFrame:
