@@ -47,3 +47,11 @@ def clean_forward(pairs: DataFrame, dev: DataFrame, eligible: Column, key: list[
     firsts = scoped.where("_dev IS NULL").groupBy(*key).agg(F.min(order).alias("_first"))
     done = scoped.join(firsts, key, "left").withColumn("verdict", F.when(F.col("_dev"), "excluded").when(F.col(order) == F.col("_first"), "kept").otherwise("duplicate"))
     return done.select(*pairs.columns, "verdict").unionByName(rest.withColumn("verdict", F.lit("passed"))), hit
+
+
+def clean_reverse(pairs: DataFrame, hit: DataFrame, eligible: Column, key: list[str], order: str) -> DataFrame:
+    """Pairs with verdict: mirrors of the dev keys that the forward set really lost go, then later pairs; the rest pass. key: source, target."""
+    eligible = F.coalesce(eligible, F.lit(False))
+    a, b = key
+    done = verdicts(pairs.where(eligible), key, order, hit.select(F.col(b).alias(a), F.col(a).alias(b)))
+    return done.unionByName(pairs.where(~eligible).withColumn("verdict", F.lit("passed")))

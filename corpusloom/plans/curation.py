@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import chat, dedup, metrics, packing, sampling, tensors
+from corpusloom.sources import readers
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -167,6 +168,28 @@ def clean_forward(s, d):
     return dedup.clean_forward(p, p.where("doc_id < 50"), F.col("lang") != "fr", ["src", "tgt"], "ord", "lang")[0].select("ord", "verdict")
 
 
+@query(f"""WITH {_PAIRS}, hit AS (SELECT DISTINCT src, tgt FROM pairs WHERE doc_id < 50 AND lang <> 'fr'),
+ v AS (SELECT ord, CASE WHEN lang IS NULL OR lang = 'fr' THEN 'passed' WHEN (src, tgt) IN (SELECT src, tgt FROM hit) THEN 'excluded' END AS v0, src, tgt FROM pairs)
+ SELECT ord, coalesce(v0, CASE WHEN row_number() OVER (PARTITION BY v0, src, tgt ORDER BY ord) = 1 THEN 'kept' ELSE 'duplicate' END) AS verdict FROM v""")
+def clean_reverse(s, d):
+    p, eligible = pairs(s, d), F.col("lang") != "fr"
+    hit = dedup.clean_forward(p, p.where("doc_id < 50"), eligible, ["src", "tgt"], "ord", "lang")[1]
+    back = p.select("ord", "lang", F.col("tgt").alias("src"), F.col("src").alias("tgt"))
+    return dedup.clean_reverse(back, hit, eligible, ["src", "tgt"], "ord").select("ord", "verdict")
+
+
+@query(r"""WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents),
+ l AS (SELECT doc_id, ord, regexp_replace(t, '^([^ ]*) ', '\1' || chr(9)) AS t FROM r), p AS (SELECT *, strpos(t, chr(9)) AS i FROM l)
+ SELECT doc_id AS src_file, ord, CASE WHEN i = 0 THEN t WHEN doc_id % 2 = 0 THEN substr(t, i + 1) ELSE substr(t, 1, i - 1) END AS src,
+ CASE WHEN i = 0 THEN '' WHEN doc_id % 2 = 0 THEN substr(t, 1, i - 1) ELSE substr(t, i + 1) END AS tgt FROM p""")
+def headed_tsv_pairs(s, d):
+    docs = read(s, d, "documents").where("text IS NOT NULL")
+    body = docs.select(F.col("doc_id").alias("src_file"), F.posexplode(F.split("text", "\n", -1)).alias("ord", "text"))
+    body = body.select("src_file", (F.col("ord") + 1).cast("long").alias("ord"), F.regexp_replace("text", "^([^ ]*) ", "$1\t").alias("text"))
+    head = docs.select(F.col("doc_id").alias("src_file"), F.lit(0).cast("long").alias("ord"), F.when(F.col("doc_id") % 2 == 0, "\ufeffHSB\tde").otherwise("de\tHSB").alias("text"))
+    return readers.headed_tsv_pairs(head.unionByName(body), "de")
+
+
 @query()
 def pair_verdict_histogram(s, d):
     h = pairs(s, d).groupBy(X.pair_verdict(F.col("src"), F.col("tgt")).alias("verdict")).agg(F.count("*").alias("n"))

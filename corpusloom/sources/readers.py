@@ -30,6 +30,27 @@ def tsv_pairs(rows: DataFrame) -> DataFrame:
     return rows.where(F.size(parts) >= 2).select("ord", strip(parts[0]).alias("src"), strip(parts[1]).alias("tgt")).where("src <> '' AND tgt <> ''")
 
 
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """src_file, ord, text: every line as it stands, invalid UTF-8 replaced; the last line's end makes no further line."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("src_file"), F.make_valid_utf8("value").alias("value")).where("value <> ''")
+    ended = F.regexp_replace("value", r"(?:\r\n|\n|\r)\z", "")
+    rows = whole.select("src_file", F.posexplode(F.split(ended, r"\r\n|\n|\r", -1)).alias("ord", "text"))
+    return rows.select("src_file", F.col("ord").cast("long").alias("ord"), "text")
+
+
+def headed_tsv_pairs(rows: DataFrame, source: str, languages: tuple[str, ...] = ("de", "dsb", "hsb")) -> DataFrame:
+    """src_file, ord, src, tgt of raw lines. A file whose first line names two languages has a header: it is no pair, and its columns
+    are swapped if the first isn't `source`. The second field keeps later tabs; a line without a tab is a source without a target."""
+    named = F.split(F.lower(F.regexp_replace("text", "^\ufeff+", "")), "\t", -1)
+    is_header = (F.size(named) == 2) & named[0].isin(*languages) & named[1].isin(*languages)
+    heads = rows.where(F.col("ord") == 0).where(is_header).select("src_file", (named[0] != source).alias("_swap"))
+    parts = F.split("text", "\t", 2)
+    first, second = parts[0], F.get(parts, F.lit(1))
+    swap = F.coalesce("_swap", F.lit(False)) & second.isNotNull()
+    data = rows.join(heads, "src_file", "left").where(F.col("_swap").isNull() | (F.col("ord") > 0))
+    return data.select("src_file", "ord", F.when(swap, second).otherwise(first).alias("src"), F.when(swap, first).otherwise(F.coalesce(second, F.lit(""))).alias("tgt"))
+
+
 def csv_pairs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, maxCharsPerColumn=-1)
 

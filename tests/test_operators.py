@@ -86,3 +86,25 @@ def test_schedule_and_plan(spark):
 def test_readers(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b" x \r\n\r\ny\xff\rz")
     assert [r.text for r in readers.lines(spark, str(tmp_path / "a.txt")).orderBy("ord").collect()] == ["x", "y\ufffd", "z"]
+
+
+def test_headed_tsv_pairs(spark, tmp_path):
+    from corpusloom.sources import readers
+
+    (tmp_path / "a.tsv").write_bytes("\ufeffHSB\tDE\r\nx\ty\tz\r\nalone\n\t\n".encode())
+    (tmp_path / "b.tsv").write_bytes(b"de word\thsb word\n\nlast\t")
+    (tmp_path / "c.tsv").write_bytes(b"")
+    out = readers.headed_tsv_pairs(readers.raw_lines(spark, str(tmp_path)), "de").collect()
+    got = sorted((r.src_file[-5:], r.ord, r.src, r.tgt) for r in out)
+    assert got == [("a.tsv", 1, "y\tz", "x"), ("a.tsv", 2, "alone", ""), ("a.tsv", 3, "", ""), ("b.tsv", 0, "de word", "hsb word"), ("b.tsv", 1, "", ""), ("b.tsv", 2, "last", "")]
+
+
+def test_clean_reverse_drops_mirrors_of_hits_alone(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import dedup
+
+    rows = spark.createDataFrame([(0, "b", "a", "de"), (1, "a", "b", "de"), (2, "c", "d", "de"), (3, "c", "d", "de"), (4, "b", "a", None)], "ord long, src string, tgt string, lang string")
+    hit = spark.createDataFrame([("a", "b")], "src string, tgt string")
+    out = {r.ord: r.verdict for r in dedup.clean_reverse(rows, hit, F.col("lang") == "de", ["src", "tgt"], "ord").collect()}
+    assert out == {0: "excluded", 1: "kept", 2: "kept", 3: "duplicate", 4: "passed"}
