@@ -84,6 +84,30 @@ def test_op4_components(spark):
     assert out == {3: (58, 3, True), 5: (58, 3, False), 9: (58, 3, False), 1: (0, 1, True), 2: (0, 2, True), 4: (1, 4, True), 8: (1, 4, False), 7: (58, 7, True)}
 
 
+def test_op4_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE_TEXTS", 8)
+    rng, text, rows = random.Random(4), [f"w{i}" for i in range(60)], []
+    for i in range(300):  # two drifting lines of texts: blocks of more than one tile, with links inside tiles and across them
+        text = [w if rng.random() > 0.004 else f"v{rng.randrange(9)}" for w in text]
+        rows.append((1000 - i, " ".join(text if i % 2 else text[::-1])))
+    sets = {d: frozenset(zip(t.split(), t.split()[1:], t.split()[2:], strict=False)) for d, t in rows}
+    least = {d: d for d in sets}
+
+    def root(d):
+        while least[d] != d:
+            d = least[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                least[y] = x
+    out = {r.doc_id: r.component_id for r in neardup.deduped(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out == {d: root(d) for d in sets} and 1 < len(set(out.values())) < 300
+    assert max(list(out.values()).count(c) for c in set(out.values())) > 4 * neardup.TILE_TEXTS
+
+
 def test_op5_one_word_edits(spark):
     line = "a b c d e f g h i j"
     rows = [(1, line + "\nshort one"), (2, line.replace("c", "X") + "\nshort one"), (3, "zero " + line), (4, line.replace("b", "Y").replace("h", "Z")), (5, "  " + line.replace(" ", "  ")), (6, None), (7, "")]
