@@ -114,7 +114,7 @@ def within_one(a: str, b: str) -> Column:
 
 
 def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", exact_words: int = EXACT_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """docs with the lines that go taken out of `text`, n_lines, n_exact and n_near. Columns of docs of these names are replaced."""
+    """docs with the lines that go taken out of `text`, n_lines, n_exact and n_near. Columns of docs of these names are replaced; columns _id and _gone are not carried."""
     if near_words < exact_words or exact_words < 1:
         raise ValueError("need 1 <= exact_words <= near_words")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near", "_gone", "_id")]
