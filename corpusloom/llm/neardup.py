@@ -3,11 +3,10 @@
 1. One pass turns each text into its set of shingles: a 64-bit name of the set, its size, and TREES * DEPTH minhashes.
    Documents of equal sets are one class from here on.
 2. Each tree of the forest orders the classes by its own sequence of minhashes. Classes that agree in the first DEPTH of a
-   tree are a region; a region of over REGION classes goes deeper, to twice and four times as many, until it is small
-   enough, so depth adapts to the density of the place. Inside a region each class is compared with its neighbours of
+   tree are a region. Inside a region each class is compared with its neighbours of
    longest common prefix, and a maximum spanning forest over the estimated similarities joins what could be linked at
-   all; one edge a class at most leaves a region, to the least of its part. At full depth an oversized region is cut along its order, each cut
-   joined to the region's least class.
+   all; one edge a class at most leaves a region, to the least of its part. In a region of over REGION classes nothing is
+   estimated: each class is joined to the region's least, and the exact check decides.
 3. The connected parts of these candidate edges are blocks: whatever could be linked is in one block. Blocks are confirmed
    exactly: their texts' full sets go, in tiles of bounded size, to tasks that intersect each pair of tiles and give back
    the edges of a spanning forest of the true links.
@@ -15,7 +14,7 @@
 
 A pair of the threshold's similarity is missed if no tree holds it (chance (1 - 0.85^4)^20, under 1e-6) or if its
 minhashes agree in under LEAST of places (about 1e-6). Cost is linear but for blocks, whose distinct texts are compared tile by
-tile.
+tile; an oversized region is in one block as a whole.
 
 Defined results: texts without words, null and empty ones are linked with nothing; rows that share a doc_id
 are linked if their texts are; rows without a doc_id have no component and are kept; an empty table gives no rows.
@@ -112,23 +111,14 @@ def prefix_key(tree: int, depth: int):
 
 def forest_edges(classes_: DataFrame) -> DataFrame:
     """Candidate edges (a, b) of classes (node, signature)."""
-    keys = F.array(*[F.struct(*[prefix_key(t, DEPTH * m).alias(f"k{m}") for m in (1, 2, 4)], F.lit(t).alias("tree")) for t in range(TREES)])
-    rows = classes_.select("node", "signature", F.explode(keys).alias("x")).select("node", "signature", "x.*")
-    bare = rows.drop("signature")
+    keys = F.array(*[F.struct(prefix_key(t, DEPTH).alias("k1"), F.lit(t).alias("tree")) for t in range(TREES)])
+    bare = classes_.select("node", F.explode(keys).alias("x")).select("node", "x.*")
     # Regions of one class need nothing; they are dropped before anything wide moves.
-    many = written(bare.groupBy("k1").agg(F.count("*").alias("c")).where("c > 1"))
+    many = written(bare.groupBy("k1").agg(F.count("*").alias("c"), F.min("node").alias("least")).where("c > 1"))
     members = written(bare.join(many, "k1"))
-    for level, wide in (("k1", "k2"), ("k2", "k4")):
-        deep = members.where(F.col("c") > REGION)
-        if deep.isEmpty():
-            break
-        finer = deep.drop("c").join(deep.groupBy(wide).agg(F.count("*").alias("c")).where("c > 1"), wide).withColumn("k1", F.col(wide))
-        members = written(members.where(F.col("c") <= REGION).unionByName(finer))
-    cuts = F.ceil(F.col("c") / REGION)
-    members = members.withColumn("cut", F.when(cuts > 1, F.pmod(F.xxhash64("node"), cuts)).otherwise(F.lit(0)).cast("long"))
-    over = members.where(F.col("c") > REGION)
-    across = over.groupBy("k1", "cut").agg(F.min("node").alias("b")).join(over.groupBy("k1").agg(F.min("node").alias("a")), "k1").where("a <> b").select("a", "b")
-    wide = members.select("k1", "cut", "tree", "node").join(classes_.select("node", "signature").hint("merge"), "node")
+    across = members.where(F.col("c") > REGION).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    members = members.where(F.col("c") <= REGION)
+    wide = members.select("k1", "tree", "node").join(classes_.select("node", "signature").hint("merge"), "node")
 
     def region(sig: np.ndarray, node: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(node)
@@ -168,17 +158,17 @@ def forest_edges(classes_: DataFrame) -> DataFrame:
 
     def lot(pdf: pd.DataFrame) -> pd.DataFrame:
         # Most regions have two or three classes, so many go through one call.
-        k1, cut, tree, node = (pdf[c].to_numpy() for c in ("k1", "cut", "tree", "node"))
-        order = np.lexsort((cut, k1))
-        k1, cut, tree, node = k1[order], cut[order], tree[order], node[order]
+        k1, tree, node = (pdf[c].to_numpy() for c in ("k1", "tree", "node"))
+        order = np.argsort(k1)
+        k1, tree, node = k1[order], tree[order], node[order]
         sig = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), -1)[order]
-        edge = np.flatnonzero((k1[1:] != k1[:-1]) | (cut[1:] != cut[:-1])) + 1
+        edge = np.flatnonzero(k1[1:] != k1[:-1]) + 1
         found = [region(sig[i:j], node[i:j], int(tree[i])) for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(k1)], strict=True)]
         out = pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])})
         return out.query("a != b").drop_duplicates()
 
     lots = max(1, -(-members.count() // LOT))
-    inside = wide.withColumn("lot", F.pmod(F.xxhash64("k1", "cut"), F.lit(lots))).groupBy("lot").applyInPandas(lot, "a long, b long")
+    inside = wide.withColumn("lot", F.pmod(F.xxhash64("k1"), F.lit(lots))).groupBy("lot").applyInPandas(lot, "a long, b long")
     found = inside.unionByName(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return written(drawn_in(found))
 

@@ -108,6 +108,19 @@ def test_op4_many_tiles(spark, monkeypatch):
     assert max(list(out.values()).count(c) for c in set(out.values())) > 4 * neardup.TILE_TEXTS
 
 
+def test_op4_oversized_regions(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 8)
+    rng, hub, rows = random.Random(7), [f"w{i}" for i in range(400)], []
+    rows.append((500, " ".join(hub)))
+    for i in range(300):  # linked with the hub alone, and seldom alike in a long run of minhashes
+        at = set(rng.sample(range(3, 397, 6), 10))
+        rows.append((i, " ".join(f"v{rng.randrange(10**6)}" if j in at else w for j, w in enumerate(hub))))
+    sets = [frozenset(zip(t.split(), t.split()[1:], t.split()[2:], strict=False)) for _, t in rows]
+    assert all(100 * len(s & sets[0]) >= 85 * len(s | sets[0]) for s in sets)
+    out = neardup.deduped(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.component_id for r in out} == {0} and [r.doc_id for r in out if r.kept] == [0]
+
+
 def test_op5_one_word_edits(spark):
     line = "a b c d e f g h i j"
     rows = [(1, line + "\nshort one"), (2, line.replace("c", "X") + "\nshort one"), (3, "zero " + line), (4, line.replace("b", "Y").replace("h", "Z")), (5, "  " + line.replace(" ", "  ")), (6, None), (7, "")]
