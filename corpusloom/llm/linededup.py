@@ -12,8 +12,8 @@ No key is joined with itself. Lines whose variants are equal *and* lack a word a
 each other, so each meets the earliest of them alone; a line that is itself a variant's text meets every line with that
 variant. That decides for every line whether any earlier line is within the bound, with one pair a variant.
 
-The rule: a line of at least `exact_words` words goes if an equal line stands earlier in the corpus (by doc_id, then
-line number); a line of at least `near_words` words also goes if an earlier line is within one edit. Lines are cut at
+The rule: a line of at least `exact_words` words or `exact_chars` characters goes if an equal line stands earlier in the
+corpus (by doc_id, then line number); a line of at least `near_words` words also goes if an earlier line is within one edit. Lines are cut at
 newlines; white space around them and its amount between words do not count. Blank and shorter lines stay. Equal lines
 are known by two 64-bit hashes.
 
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table, written
 
-EXACT_WORDS, NEAR_WORDS = 5, 10
+EXACT_WORDS, NEAR_WORDS = 5, 5
+#: A line of fewer words, as in a script without spaces, counts for exact copies from so many characters on.
+EXACT_CHARS = 10
 SPACE = r"[ \t\x0B\f\r]+"
 
 
@@ -44,14 +46,14 @@ def _count(text: str, what: str) -> Column:
     return (F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit(what), F.lit("")))).cast("int")
 
 
-def _lines(docs: DataFrame, key: str, text: str, exact: int, near: int) -> DataFrame:
-    """_id, _line, _n (words) and the two hashes of every line with at least `exact` words; of one with `near` words also _text with single spaces, and _ends, the hashes of its ends."""
+def _lines(docs: DataFrame, key: str, text: str, exact: int, near: int, chars: int) -> DataFrame:
+    """_id, _line, _n (words) and the two hashes of every line with at least `exact` words or `chars` characters; of one with `near` words also _text with single spaces, and _ends, the hashes of its ends."""
     # Most texts have nothing to replace, and looking is much cheaper; a whole text is looked at once, before it is cut.
     uneven = reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in ("  ", "\t", "\r", "\f", "\x0b")])
     even = F.when(uneven, F.regexp_replace(text, SPACE, " ")).otherwise(F.col(text))
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.posexplode(F.split(even, "\n", -1)).alias("_line", "_raw"))
     rows = rows.select("_id", "_line", F.trim("_raw").alias("_text"))
-    rows = rows.withColumn("_n", _count("_text", " ") + 1).where(F.col("_n") >= exact)
+    rows = rows.withColumn("_n", _count("_text", " ") + 1).where((F.col("_n") >= exact) | (F.char_length("_text") >= chars))
 
     # A line of n words meets lines of n - 1, n and n + 1: the ends are of floor((n - 1) / 2) words for the larger n.
     def sides(m: str) -> list[Column]:
@@ -113,12 +115,14 @@ def within_one(a: str, b: str) -> Column:
     return F.when(F.size(a) == F.size(b), same).when(F.size(a) + 1 == F.size(b), shorter(a, b)).when(F.size(b) + 1 == F.size(a), shorter(b, a)).otherwise(False)
 
 
-def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", exact_words: int = EXACT_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", exact_words: int = EXACT_WORDS, near_words: int = NEAR_WORDS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """docs with the lines that go taken out of `text`, n_lines, n_exact and n_near. Columns of docs of these names are replaced; columns _id and _gone are not carried."""
     if near_words < exact_words or exact_words < 1:
         raise ValueError("need 1 <= exact_words <= near_words")
+    if exact_chars < 1:
+        raise ValueError("need 1 <= exact_chars")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near", "_gone", "_id")]
-    lines = written(_lines(docs, key, text, exact_words, near_words))
+    lines = written(_lines(docs, key, text, exact_words, near_words, exact_chars))
     repeated = lines.groupBy(*LINE).agg(F.count("*").alias("_c")).where("_c > 1").select(*LINE, F.lit(False).alias("_near"))
     # Written, so that the join below reads both sides from shuffles and a hot line's places can be split.
     asked = written(repeated.unionByName(_suspects(lines).withColumn("_near", F.lit(True))).groupBy(*LINE).agg(F.max("_near").alias("_near")))

@@ -128,6 +128,12 @@ def test_op5_one_word_edits(spark):
     assert out == {1: rows[0][1], 2: "short one", 3: "", 4: rows[3][1], 5: "", 6: None, 7: ""}
 
 
+def test_op5_short_and_unspaced_lines(spark):
+    rows = [(1, "all rights reserved\n今日はとても天気がいい\none two three four five\n9 chars"), (2, "all rights reserved\n今日はとても天気がいい\none two 3 four five\n9 chars"), (3, "one two three four five six")]
+    out = {r.doc_id: (r.text, r.n_exact, r.n_near) for r in linededup.deduped(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out == {1: (rows[0][1], 0, 0), 2: ("9 chars", 2, 1), 3: ("", 0, 1)}
+
+
 def test_op6_article(spark):
     page = '<body><div class="wrap"><header>Top</header><div id="sidebar">s</div><main><h1>T &amp; &#65;</h1><p>One <b>bo</b>ld<br>x</p><ul><li>i<li>j</ul><div class="comments"><p>c</p></div><form>f</form></main><footer>z'
     assert html.extract(page, None) == "T & A One bold x i j" and html.extract(None, None) == "" and html.extract("<", None) == "<"
