@@ -47,22 +47,23 @@ def _count(text: str, what: str) -> Column:
 
 
 def _lines(docs: DataFrame, key: str, text: str, exact: int, near: int, chars: int) -> DataFrame:
-    """_id, _line, _n (words) and the two hashes of every line with at least `exact` words or `chars` characters; of one with `near` words also _text with single spaces, and _ends, the hashes of its ends."""
+    """_id, _line, _n (words) and the two hashes of every line with at least `exact` words or `chars` characters, which have _exact, or `near` - 1 words; of one with `near` - 1 words also _text with single spaces, and _ends, the hashes of its ends."""
     # Most texts have nothing to replace, and looking is much cheaper; a whole text is looked at once, before it is cut.
     uneven = reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in ("  ", "\t", "\r", "\f", "\x0b")])
     even = F.when(uneven, F.regexp_replace(text, SPACE, " ")).otherwise(F.col(text))
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.posexplode(F.split(even, "\n", -1)).alias("_line", "_raw"))
     rows = rows.select("_id", "_line", F.trim("_raw").alias("_text"))
-    rows = rows.withColumn("_n", _count("_text", " ") + 1).where((F.col("_n") >= exact) | (F.char_length("_text") >= chars))
+    rows = rows.withColumn("_n", _count("_text", " ") + 1).withColumn("_exact", (F.col("_n") >= exact) | (F.char_length("_text") >= chars)).where(F.col("_exact") | (F.col("_n") >= near - 1))
 
     # A line of n words meets lines of n - 1, n and n + 1: the ends are of floor((n - 1) / 2) words for the larger n.
     def sides(m: str) -> list[Column]:
         return [F.expr(f"xxhash64(0, {m}, substring_index(_text, ' ', {m}))"), F.expr(f"xxhash64(1, {m}, substring_index(_text, ' ', -{m}))")]
 
     low, high = sides("cast((_n - 1) div 2 AS int)"), sides("cast(_n div 2 AS int)")
-    ends = F.when(F.col("_n") % 2 == 1, F.array(*low)).otherwise(F.array(*low, *high))
-    long = F.col("_n") >= near
-    return rows.select("_id", "_line", "_n", F.xxhash64("_text").alias("_h"), F.xxhash64(F.lit(1), "_text").alias("_g"), F.when(long, F.col("_text")).alias("_text"), F.when(long, ends).alias("_ends"))
+    # Lines of near - 1 words only matter to those of one word more.
+    ends = F.when(F.col("_n") < near, F.array(*high)).when(F.col("_n") % 2 == 1, F.array(*low)).otherwise(F.array(*low, *high))
+    long = F.col("_n") >= max(near - 1, 1)
+    return rows.select("_id", "_line", "_n", "_exact", F.xxhash64("_text").alias("_h"), F.xxhash64(F.lit(1), "_text").alias("_g"), F.when(long, F.col("_text")).alias("_text"), F.when(long, ends).alias("_ends"))
 
 
 def _suspects(lines: DataFrame) -> DataFrame:
@@ -72,8 +73,8 @@ def _suspects(lines: DataFrame) -> DataFrame:
     return ends.join(shared.hint(UNIQUE), "_end", "left_semi").select(*LINE).distinct()
 
 
-def _near(suspects: DataFrame) -> DataFrame:
-    """The hashes of the lines that lie within one edit of an earlier one. suspects: hashes, _first (id, line) and _w (words)."""
+def _near(suspects: DataFrame, least: int) -> DataFrame:
+    """The hashes of the lines of at least `least` words that lie within one edit of an earlier one. suspects: hashes, _first (id, line) and _w (words)."""
     each = suspects.select(*LINE, F.posexplode("_w").alias("_i", "_word"))
     each = each.select(*LINE, "_i", F.xxhash64("_word", "_i").alias("_z"), F.xxhash64("_word", F.col("_i") - 1).alias("_y"))
     line = Window.partitionBy(*LINE)
@@ -99,7 +100,7 @@ def _near(suspects: DataFrame) -> DataFrame:
     added = added.select(*[F.when(late, F.col(a)).otherwise(F.col(b)).alias(n) for a, b, n in (("_h", "_oh", "_h"), ("_g", "_og", "_g"), ("_oh", "_h", "_oh"), ("_og", "_g", "_og"))])
     pairs = replaced.unionByName(added).distinct()
     theirs = suspects.select(F.col("_h").alias("_oh"), F.col("_g").alias("_og"), F.col("_w").alias("_ow"))
-    verified = pairs.join(suspects.select(*LINE, "_w"), LINE).join(theirs, other).where(within_one("_w", "_ow"))
+    verified = pairs.join(suspects.select(*LINE, "_w"), LINE).join(theirs, other).where((F.size("_w") >= least) & within_one("_w", "_ow"))
     return verified.select(*LINE).distinct()
 
 
@@ -123,17 +124,17 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", exact_word
         raise ValueError("need 1 <= exact_chars")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near", "_gone", "_id")]
     lines = written(_lines(docs, key, text, exact_words, near_words, exact_chars))
-    repeated = lines.groupBy(*LINE).agg(F.count("*").alias("_c")).where("_c > 1").select(*LINE, F.lit(False).alias("_near"))
+    repeated = lines.where("_exact").groupBy(*LINE).agg(F.count("*").alias("_c")).where("_c > 1").select(*LINE, F.lit(False).alias("_near"))
     # Written, so that the join below reads both sides from shuffles and a hot line's places can be split.
     asked = written(repeated.unionByName(_suspects(lines).withColumn("_near", F.lit(True))).groupBy(*LINE).agg(F.max("_near").alias("_near")))
-    places = written(lines.select(*LINE, "_id", "_line").join(asked.hint(UNIQUE), LINE))
-    firsts = written(places.groupBy(*LINE).agg(F.min(F.struct("_id", "_line")).alias("_first"), F.max("_near").alias("_near"), F.count("*").alias("_c")))
+    places = written(lines.select(*LINE, "_id", "_line", "_exact").join(asked.hint(UNIQUE), LINE))
+    firsts = written(places.groupBy(*LINE).agg(F.min(F.struct("_id", "_line")).alias("_first"), F.max("_near").alias("_near"), F.max("_exact").alias("_exact"), F.count("*").alias("_c")))
     # A text is looked up where its line stands first, so no key is hot.
     at = firsts.where("_near").select(*LINE, F.col("_first._id").alias("_fid"), F.col("_first._line").alias("_line"), "_first").alias("f")
     texts = lines.where("_text IS NOT NULL").select(*LINE, "_id", "_line", "_text").join(at.hint(UNIQUE), (F.col("_id").eqNullSafe(F.col("_fid"))) & reduce(Column.__and__, [lines[c] == F.col(f"f.{c}") for c in (*LINE, "_line")]))
     suspects = written(texts.select(*[lines[c] for c in LINE], "_first", "_text").dropDuplicates(LINE).select(*LINE, "_first", F.split("_text", " ").alias("_w")))
-    near = _near(suspects)
-    fate = firsts.drop("_near").join(near.withColumn("_near", F.lit(True)), LINE, "left").where("_c > 1 OR _near")
+    near = _near(suspects, near_words)
+    fate = firsts.drop("_near").join(near.withColumn("_near", F.lit(True)), LINE, "left").where("_c > 1 AND _exact OR _near")
     fate = written(fate.select(*LINE, "_first", F.coalesce("_near", F.lit(False)).alias("_near")))
     places = places.select(*LINE, "_id", "_line").join(fate, LINE)
     later = ~(F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_line") == F.col("_first._line")))

@@ -134,6 +134,15 @@ def test_op5_short_and_unspaced_lines(spark):
     assert out == {1: (rows[0][1], 0, 0), 2: ("9 chars", 2, 1), 3: ("", 0, 1)}
 
 
+def test_op5_one_word_under_the_floor(spark):
+    rows = [(1, "a b d e"), (2, "a b c d e"), (3, "a b d e"), (4, "a b d x"), (5, "a b d x y")]
+    out = {r.doc_id: r.text for r in linededup.deduped(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out == {1: "a b d e", 2: "", 3: "a b d e", 4: "a b d x", 5: ""}
+    rows = [(1, "a b c d e f g h i"), (2, "a b c d z e f g h i"), (3, "a b c d e f g h y"), (4, "a b c d e f g h i")]
+    out = {r.doc_id: r.text for r in linededup.deduped(spark.createDataFrame(rows, DOCS), near_words=10).collect()}
+    assert out == {1: rows[0][1], 2: "", 3: rows[2][1], 4: ""}
+
+
 def test_op6_article(spark):
     page = '<body><div class="wrap"><header>Top</header><div id="sidebar">s</div><main><h1>T &amp; &#65;</h1><p>One <b>bo</b>ld<br>x</p><ul><li>i<li>j</ul><div class="comments"><p>c</p></div><form>f</form></main><footer>z'
     assert html.extract(page, None) == "T & A One bold x i j" and html.extract(None, None) == "" and html.extract("<", None) == "<"
