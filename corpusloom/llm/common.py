@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,7 +36,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, which is smaller than a checkpoint."""
+    """df as a Parquet table in the shared folder, which is smaller than a checkpoint. It stays; see Scratch."""
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+class Scratch:
+    """The written intermediates of one run of an operator, which deletes each as soon as nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.held = spark, f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}", {}
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.parquet(path)
+        self.held[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes the tables. The driver collects its garbage too: shuffle files go when no plan refers to them."""
+        jvm = self.spark.sparkContext._jvm
+        for df in tables:
+            _, path = self.held.pop(id(df))
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        gc.collect()
+        jvm.System.gc()
