@@ -55,12 +55,13 @@ class Scratch:
         self.held[id(out)] = (out, path)
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
-        """Deletes the tables. The driver collects its garbage too: shuffle files go when no plan refers to them."""
+    def drop(self, *tables: DataFrame, sweep: bool = True) -> None:
+        """Deletes the tables. With `sweep` the driver collects its garbage too: shuffle files go when no plan refers to them."""
         jvm = self.spark.sparkContext._jvm
         for df in tables:
             _, path = self.held.pop(id(df))
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        gc.collect()
-        jvm.System.gc()
+        if sweep:
+            gc.collect()
+            jvm.System.gc()

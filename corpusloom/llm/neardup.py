@@ -1,20 +1,22 @@
 """Near-duplicate documents by an LSH forest, with every link confirmed on full shingle sets.
 
-1. One pass turns each text into its set of shingles: a 64-bit name of the set, its size, and TREES * DEPTH minhashes.
-   Documents of equal sets are one class from here on.
+1. One pass turns each text into its set of shingles: a 64-bit name of the set, its size, and DEPTH minhashes for each
+   tree. Documents of equal sets are one class from here on.
 2. Each tree of the forest orders the classes by its own sequence of minhashes. Classes that agree in the first DEPTH of a
    tree are a region. Inside a region each class is compared with its neighbours of
    longest common prefix, and a maximum spanning forest over the estimated similarities joins what could be linked at
    all; one edge a class at most leaves a region, to the least of its part. In a region of over REGION classes nothing is
    estimated: each class is joined to the region's least, and the exact check decides.
-3. The connected parts of these candidate edges are blocks: whatever could be linked is in one block. Blocks are confirmed
-   exactly: their texts' full sets go, in tiles of bounded size, to tasks that intersect each pair of tiles and give back
-   the edges of a spanning forest of the true links.
-4. Components of true links; the smallest doc_id of each names it.
+3. The connected parts of these candidate edges are blocks: whatever could be linked is in one block. A block goes, in
+   tiles of bounded size, to tasks that intersect the full sets of a tile with each other and with the block's hub, the
+   class that agrees most with the block's consensus signature. That joins most blocks, in one pass over their sets.
+4. What is still apart in a block of several tiles is compared by an inverted index: each class names the rarest of its
+   shingles that any link must share with it (a prefix by the threshold), and classes of different parts that name a
+   common one are intersected. Numbers of classes move, and sets only where a pair is verified.
+5. Components of true links; the smallest doc_id of each names it.
 
-A pair of the threshold's similarity is missed if no tree holds it (chance (1 - 0.85^4)^20, under 1e-6) or if its
-minhashes agree in under LEAST of places (about 1e-6). Cost is linear but for blocks, whose distinct texts are compared tile by
-tile; an oversized region is in one block as a whole.
+The number of trees and the least share of equal minhashes follow from the threshold: either misses a pair of exactly the
+threshold's similarity with a chance of at most MISS. Regions and blocks lose no pair, whatever their size.
 
 Defined results: texts without words, null and empty ones are linked with nothing; rows that share a doc_id
 are linked if their texts are; rows without a doc_id have no component and are kept; an empty table gives no rows.
@@ -22,26 +24,42 @@ are linked if their texts are; rows without a doc_id have no component and are k
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bytewords import LOWER, NONSPACE, boundaries, by_value, classes, column_of, hashes, mix, slices
-from corpusloom.llm.common import table, text_batches, written
+from corpusloom.llm.common import Scratch, table, text_batches
 
 by_value(__name__)
 
-TREES, DEPTH = 20, 4
+DEPTH, MISS = 4, 1e-6
 REGION, TILE_TEXTS, TILE_SHINGLES = 1000, 128, 1 << 17
 #: Rows of whole regions that go to Python at once, on average; a region has about REGION at most.
 LOT = 20000
-LEAST = 0.65
+#: So many classes of a block, by their hashes, make its consensus signature. It only chooses the hub.
+VOTERS = 32
+#: A class of over one in HOT rows is looked up by broadcast; there can be HOT of them at most.
+HOT = 1024
 SLICE = 6 << 20
-_ODD = np.random.default_rng(20).integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def forest_shape(similarity: float) -> tuple[int, float]:
+    """The number of trees, and the least share of equal minhashes of two sets that could be linked."""
+    trees = max(1, math.ceil(math.log(MISS) / math.log1p(-(similarity**DEPTH)))) if similarity < 1 else 1
+    n, below, least = trees * DEPTH, 0.0, 0
+    while least < n and (below := below + math.comb(n, least) * similarity**least * (1 - similarity) ** (n - least)) <= MISS:
+        least += 1
+    return trees, least / n
+
+
+def multipliers(trees: int) -> np.ndarray:
+    return np.random.default_rng(20).integers(1, 2**63, trees * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -71,90 +89,93 @@ def set_name(shingles: np.ndarray) -> int:
     return int(mix(np.array([total])).view(np.int64)[0])
 
 
-def minhashes(shingles: list[np.ndarray]) -> np.ndarray:
-    """TREES * DEPTH minhashes of each set (of none: zeros)."""
+def minhashes(shingles: list[np.ndarray], odd: np.ndarray) -> np.ndarray:
+    """A minhash of each set for each multiplier (of no shingles: zeros)."""
     sizes = np.array([len(s) for s in shingles], np.int64)
-    out = np.zeros((len(shingles), TREES * DEPTH), np.uint32)
+    out = np.zeros((len(shingles), len(odd)), np.uint32)
     full = np.flatnonzero(sizes)
     if len(full):
         flat = np.concatenate([shingles[i] for i in full])
         starts = np.cumsum(sizes[full]) - sizes[full]
-        for k, odd in enumerate(_ODD):
-            out[full, k] = np.minimum.reduceat((flat * odd) >> np.uint64(32), starts)
+        for k, m in enumerate(odd):
+            out[full, k] = np.minimum.reduceat((flat * m) >> np.uint64(32), starts)
     return out
 
 
-def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str, width: int, trees: int) -> DataFrame:
     """doc_id, n (size of the set), node (its name) and signature of every row."""
     text_batches(docs.sparkSession)
+    odd = multipliers(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shingles = list(shingle_sets(column_of(batch, "text"), width))
-            rows = minhashes(shingles)
-            raw = [r.tobytes() for r in rows]
+            raw = [r.tobytes() for r in minhashes(shingles, odd)]
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array([len(s) for s in shingles], pa.int64()), pa.array([set_name(s) for s in shingles], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "n", "node", "signature"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, node long, signature binary")
 
 
-def tree_order(tree: int) -> list[int]:
+def tree_order(tree: int, trees: int) -> list[int]:
     """The sequence of minhashes of a tree: its own DEPTH, then those of the trees after it."""
-    return [(tree * DEPTH + i) % (TREES * DEPTH) for i in range(4 * DEPTH)]
+    return [(tree * DEPTH + i) % (trees * DEPTH) for i in range(4 * DEPTH)]
 
 
-def prefix_key(tree: int, depth: int):
+def prefix_key(tree: int, depth: int, trees: int):
     """A hash of the first `depth` minhashes of a tree."""
-    return F.xxhash64(F.lit(tree * 64 + depth), *[F.substring("signature", 4 * i + 1, 4) for i in tree_order(tree)[:depth]])
-
-
-def forest_edges(classes_: DataFrame) -> DataFrame:
+    return F.xxhash64(F.lit(tree * 64 + depth), *[F.substring("signature", 4 * i + 1, 4) for i in tree_order(tree, trees)[:depth]])
+
+
+def region_edges(sig: np.ndarray, node: np.ndarray, order: list[int], enough: float) -> tuple[np.ndarray, np.ndarray]:
+    """(least of its part, class) of every class of a region."""
+    n = len(node)
+    if n == 2:
+        near = (sig[0] == sig[1]).mean() >= enough
+        return np.full(int(near), node.min()), np.full(int(near), node.max())
+    by = np.lexsort(sig[:, order[::-1]].T)
+    sig, node = sig[by], node[by]
+    close = (sig[1:] == sig[:-1]).mean(axis=1) >= enough  # neighbours in order have the longest common prefix
+    i = np.flatnonzero(close)
+    a, b = [i], [i + 1]
+    if n > 1:  # a maximum spanning forest, by Prim's algorithm, one row of similarities at a time
+        best, source, left = np.full(n, -1.0), np.full(n, -1), np.ones(n, bool)
+        for _ in range(n):
+            at = int(np.where(left, best, -2.0).argmax())
+            left[at] = False
+            if best[at] >= enough:
+                a.append(np.array([source[at]]))
+                b.append(np.array([at]))
+            same = (sig == sig[at]).mean(axis=1)
+            better = left & (same > best)
+            best[better], source[better] = same[better], at
+    # What is joined here is told by one edge a class, to the least of its part, which is the same edge in many trees.
+    root = np.arange(n)
+    a, b = np.concatenate(a), np.concatenate(b)
+    while True:
+        low = np.minimum(root[a], root[b])
+        now = root.copy()
+        np.minimum.at(now, a, low)
+        np.minimum.at(now, b, low)
+        if (now == root).all():
+            break
+        root = now[now]
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, root, node)
+    return least[root], node
+
+
+def forest_edges(classes_: DataFrame, trees: int, enough: float, scratch: Scratch) -> DataFrame:
     """Candidate edges (a, b) of classes (node, signature)."""
-    keys = F.array(*[F.struct(prefix_key(t, DEPTH).alias("k1"), F.lit(t).alias("tree")) for t in range(TREES)])
+    keys = F.array(*[F.struct(prefix_key(t, DEPTH, trees).alias("k1"), F.lit(t).alias("tree")) for t in range(trees)])
     bare = classes_.select("node", F.explode(keys).alias("x")).select("node", "x.*")
     # Regions of one class need nothing; they are dropped before anything wide moves.
-    many = written(bare.groupBy("k1").agg(F.count("*").alias("c"), F.min("node").alias("least")).where("c > 1"))
-    members = written(bare.join(many, "k1"))
-    across = members.where(F.col("c") > REGION).select(F.col("least").alias("a"), F.col("node").alias("b"))
-    members = members.where(F.col("c") <= REGION)
+    many = scratch.written(bare.groupBy("k1").agg(F.count("*").alias("c"), F.min("node").alias("least")).where("c > 1"))
+    every = scratch.written(bare.join(many, "k1"))
+    across = every.where(F.col("c") > REGION).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    members = every.where(F.col("c") <= REGION)
     wide = members.select("k1", "tree", "node").join(classes_.select("node", "signature").hint("merge"), "node")
-
-    def region(sig: np.ndarray, node: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
-        n = len(node)
-        if n == 2:
-            near = (sig[0] == sig[1]).mean() >= LEAST
-            return np.full(int(near), node.min()), np.full(int(near), node.max())
-        order = np.lexsort(sig[:, tree_order(tree)[::-1]].T)
-        sig, node = sig[order], node[order]
-        close = (sig[1:] == sig[:-1]).mean(axis=1) >= LEAST  # neighbours in order have the longest common prefix
-        i = np.flatnonzero(close)
-        a, b = [i], [i + 1]
-        if n > 1:  # a maximum spanning forest, by Prim's algorithm, one row of similarities at a time
-            best, source, left = np.full(n, -1.0), np.full(n, -1), np.ones(n, bool)
-            for _ in range(n):
-                at = int(np.where(left, best, -2.0).argmax())
-                left[at] = False
-                if best[at] >= LEAST:
-                    a.append(np.array([source[at]]))
-                    b.append(np.array([at]))
-                same = (sig == sig[at]).mean(axis=1)
-                better = left & (same > best)
-                best[better], source[better] = same[better], at
-        # What is joined here is told by one edge a class, to the least of its part, which is the same edge in many trees.
-        root = np.arange(n)
-        a, b = np.concatenate(a), np.concatenate(b)
-        while True:
-            low = np.minimum(root[a], root[b])
-            now = root.copy()
-            np.minimum.at(now, a, low)
-            np.minimum.at(now, b, low)
-            if (now == root).all():
-                break
-            root = now[now]
-        least = np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(least, root, node)
-        return least[root], node
+    orders = [tree_order(t, trees) for t in range(trees)]
 
     def lot(pdf: pd.DataFrame) -> pd.DataFrame:
         # Most regions have two or three classes, so many go through one call.
@@ -163,14 +184,16 @@ def forest_edges(classes_: DataFrame) -> DataFrame:
         k1, tree, node = k1[order], tree[order], node[order]
         sig = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), -1)[order]
         edge = np.flatnonzero(k1[1:] != k1[:-1]) + 1
-        found = [region(sig[i:j], node[i:j], int(tree[i])) for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(k1)], strict=True)]
+        found = [region_edges(sig[i:j], node[i:j], orders[int(tree[i])], enough) for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(k1)], strict=True)]
         out = pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])})
         return out.query("a != b").drop_duplicates()
 
     lots = max(1, -(-members.count() // LOT))
     inside = wide.withColumn("lot", F.pmod(F.xxhash64("k1"), F.lit(lots))).groupBy("lot").applyInPandas(lot, "a long, b long")
     found = inside.unionByName(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return written(drawn_in(found))
+    edges = scratch.written(drawn_in(found))
+    scratch.drop(many, every)
+    return edges
 
 
 def drawn_in(edges: DataFrame) -> DataFrame:
@@ -180,23 +203,25 @@ def drawn_in(edges: DataFrame) -> DataFrame:
     return stars.select("a", F.explode(ends).alias("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) of every node of edges (a, b): label is the least node of its component. Labels fall by neighbours and by jumps."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
+    both = scratch.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = held = scratch.written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        now = written(step.join(jump, "label").select("node", "was", F.least("label", "up").alias("label")))
-        if now.where("was <> label").isEmpty():
-            return now.select("node", "label")
+        now = scratch.written(step.join(jump, "label").select("node", "was", F.least("label", "up").alias("label")))
         labels = now.select("node", "label")
+        scratch.drop(held, sweep=False)
+        held = now
+        if now.where("was <> label").isEmpty():
+            scratch.drop(both, sweep=False)
+            return labels
 
 
-def tile_links(nodes: list[int], sets: list[np.ndarray], split: int, num: int, den: int, known: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
-    """A spanning forest of the true links between the sets before `split` and those from it on (of all, if split is 0), less what `known` links join already."""
-    first, second = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
+def tile_links(nodes: list[int], sets: list[np.ndarray], num: int, den: int) -> tuple[list[int], list[int]]:
+    """A spanning forest of the true links between the sets."""
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), sizes)
@@ -207,17 +232,16 @@ def tile_links(nodes: list[int], sets: list[np.ndarray], split: int, num: int, d
     row, column = row[keep], number[column[keep]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    inter = np.zeros((len(sizes[first]), len(sizes[second])))
+    inter = np.zeros((len(sizes), len(sizes)))
     step = 8192
     for begin in range(0, int(shared.sum()), step):
         lo, hi = np.searchsorted(column, [begin, begin + step])
         dense = np.zeros((len(sets), step), np.float32)
         dense[row[lo:hi], column[lo:hi] - begin] = 1
-        inter += dense[first] @ dense[second].T
-    union = sizes[first][:, None] + sizes[second][None, :] - inter
+        inter += dense @ dense.T
+    union = sizes[:, None] + sizes[None, :] - inter
     i, j = np.nonzero(den * inter >= num * union)
-    j = j + split
-    i, j = (i, j) if split else (i[i < j], j[i < j])
+    i, j = i[i < j], j[i < j]
     parent = list(range(len(sets)))
 
     def root(x: int) -> int:
@@ -227,9 +251,6 @@ def tile_links(nodes: list[int], sets: list[np.ndarray], split: int, num: int, d
         return x
 
     a, b = [], []
-    at = {node: k for k, node in enumerate(nodes)}
-    for x, y in known:
-        parent[root(at[x])] = root(at[y])
     for x, y in zip(i.tolist(), j.tolist(), strict=True):
         p, q = root(x), root(y)
         if p != q:
@@ -239,11 +260,47 @@ def tile_links(nodes: list[int], sets: list[np.ndarray], split: int, num: int, d
     return a, b
 
 
-def true_links(docs: DataFrame, rows: DataFrame, blocks: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest of the links with den * intersection >= num * union inside blocks (node, label)."""
-    one = rows.join(blocks, "node").groupBy("node", "label").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+def consensus(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The commonest minhash at each place of a block's voters."""
+    sig = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), -1)
+    same = (sig[:, None, :] == sig[None, :, :]).sum(axis=1)
+    modal = sig[same.argmax(axis=0), np.arange(sig.shape[1])]
+    return pd.DataFrame({"label": pdf["label"].iloc[:1], "modal": [modal.tobytes()]})
+
+
+def hubs_of(placed: DataFrame, classes_: DataFrame, minhashes_: int) -> DataFrame:
+    """(label, node) of the hub of each block of several tiles."""
+    several = placed.where("tiles > 1").select("label", "node").join(classes_.select("node", "signature").hint("merge"), "node")
+    voters = several.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("node"))).where(F.col("_r") <= VOTERS)
+    modal = voters.select("label", "signature").groupBy("label").applyInPandas(consensus, "label long, modal binary")
+    agree = F.expr(f"size(filter(sequence(0, {minhashes_ - 1}), i -> substring(signature, 4 * i + 1, 4) = substring(modal, 4 * i + 1, 4)))")
+    return several.join(modal, "label").groupBy("label").agg(F.max_by("node", F.struct(agree, F.col("node"))).alias("node"))
+
+
+def prefix_links(each: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) of all links between different parts of a block. each: label, node, part, n, s (the set).
+
+    Two linked sets share a shingle among the first n - ceil(n * num / den) + 1 of each, in any order that both keep; here the
+    rarest of the block come first, so common shingles seldom name anybody."""
+    e = each.select("label", "node", "part", "n", F.explode("s").alias("s"))
+    f = e.groupBy("label", "s").agg(F.count("*").alias("c"), (F.min("part") < F.max("part")).alias("mixed")).where("c > 1")
+    ranked = e.join(f, ["label", "s"]).groupBy("label", "node", "part", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s", "mixed"))).alias("l"))
+    # Shingles of one class alone come first and name nobody.
+    length = F.expr(f"cast(greatest(0, size(l) + 1 - ceil(n * {num} / {den})) AS int)")
+    named = ranked.select("label", "node", "part", "n", F.explode(F.slice("l", F.lit(1), length)).alias("x")).where("x.mixed").select("label", "node", "part", "n", "x.s")
+    other = named.select("label", "s", *[F.col(c).alias(f"o_{c}") for c in ("node", "part", "n")])
+    fits = (F.col("part") < F.col("o_part")) & (F.col("n") * num <= F.col("o_n") * den) & (F.col("o_n") * num <= F.col("n") * den)
+    pairs = named.join(other, ["label", "s"]).where(fits).select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+    left, right = (each.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}")) for x in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("s_a", "s_b")).cast("long"))
+    return both.where(F.col("i") * den >= (F.size("s_a") + F.size("s_b") - F.col("i")) * num).select("a", "b")
+
+
+def true_links(docs: DataFrame, classes_: DataFrame, blocks: DataFrame, key: str, text: str, width: int, num: int, den: int, minhashes_: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) with the components of all links with den * intersection >= num * union inside blocks (node, label)."""
+    one = classes_.select("node", "doc_id", "n").join(blocks, "node")
     sizes = one.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / TILE_TEXTS), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("tiles"))
-    placed = written(one.join(sizes, "label").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))))
+    placed = scratch.written(one.join(sizes, "label").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))))
     text_batches(docs.sparkSession)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,54 +314,68 @@ def true_links(docs: DataFrame, rows: DataFrame, blocks: DataFrame, key: str, te
 
     wanted = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(placed.select("doc_id", "node", "label", "tile", "tiles").hint("merge"), "doc_id").select("text", "node", "label", "tile", "tiles")
     full = wanted.mapInArrow(sets, "node long, label long, tile long, tiles long, shingles binary")
-    tiles = written(full.groupBy("label", "tile").agg(F.first("tiles").alias("tiles"), F.collect_list(F.struct("node", "shingles")).alias("t")))
-
-    def forest(t: list[dict], u: list[dict], known: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
-        # Equal names are one class, met again if rows repeat.
-        left = {x["node"]: np.frombuffer(x["shingles"], np.uint64) for x in t}
-        right = {x["node"]: np.frombuffer(x["shingles"], np.uint64) for x in u}
-        return tile_links([*left, *right], [*left.values(), *right.values()], len(left) if right else 0, num, den, known)
+    tiles = scratch.written(full.groupBy("label", "tile").agg(F.first("tiles").alias("tiles"), F.collect_list(F.struct("node", "shingles")).alias("t")))
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [forest(t, [], []) for t in column_of(batch, "t").to_pylist()]
-            edges = [pa.array([m[i] for m in made], pa.list_(pa.int64())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in names), *edges], [*names, "a", "b"])
-
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in column_of(batch, "t").to_pylist():
-                a, b = forest(t, [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                # What is linked inside a tile is known, so a pair of tiles only tells what it joins anew.
-                a, b = forest(r["t"], r["u"], [*zip(r["a"], r["b"], strict=True), *zip(r["c"], r["d"], strict=True)])
+                # Equal names are one class, met again if rows repeat or the hub is of this tile.
+                own = {x["node"]: np.frombuffer(x["shingles"], np.uint64) for x in t}
+                a, b = tile_links([*own], [*own.values()], num, den)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    several, names = tiles.where("tiles > 1"), tiles.columns
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in several.schema)
-    several = written(several.mapInArrow(inside, f"{kind}, a array<long>, b array<long>"))
-    own = several.select(F.explode(F.arrays_zip("a", "b")).alias("x")).select("x.a", "x.b")
-    left = several.where("tile + 1 < tiles").select("label", "t", "a", "b", F.explode(F.sequence(F.col("tile") + 1, F.col("tiles") - 1)).alias("tile"))
-    pairs = left.join(several.select("label", "tile", F.col("t").alias("u"), F.col("a").alias("c"), F.col("b").alias("d")), ["label", "tile"]).select("t", "u", "a", "b", "c", "d")
-    one = tiles.where("tiles = 1").select("t").mapInArrow(alone, "a long, b long")
-    return written(one.unionByName(own).unionByName(pairs.mapInArrow(across, "a long, b long")))
+    edges = tiles.where("tiles = 1").select("t").mapInArrow(inside, "a long, b long")
+    several = tiles.where("tiles > 1")
+    if placed.where("tiles > 1").isEmpty():
+        edges = scratch.written(edges)
+        scratch.drop(placed, tiles)
+        return edges
+    hubs = hubs_of(placed, classes_, minhashes_).join(placed.select("node", "tile", "tiles"), "node")
+    there = hubs.join(several.select("label", "tile", "t"), ["label", "tile"]).select("label", F.expr("filter(t, x -> x.node = node)[0]").alias("hub"), "tiles")
+    sent = there.select("label", "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
+    joined = several.select("label", "tile", "t").join(sent, ["label", "tile"]).select(F.array_append("t", F.col("hub")).alias("t"))
+    own = scratch.written(joined.mapInArrow(inside, "a long, b long"))
+    parts = components(own, scratch).withColumnRenamed("label", "part")
+    members = placed.where("tiles > 1").select("label", "node", "n").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    apart = members.groupBy("label").agg((F.min("part") < F.max("part")).alias("apart")).where("apart").select("label")
+    todo = scratch.written(members.join(apart, "label"))
+    edges = edges.unionByName(own)
+    if not todo.isEmpty():
+
+        def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                flat = [np.frombuffer(x, np.int64) for x in column_of(batch, "shingles").to_pylist()]
+                at = np.cumsum([0, *map(len, flat)])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *flat])))
+                yield pa.RecordBatch.from_arrays([column_of(batch, "node"), lists], ["node", "s"])
+
+        every = several.join(todo.select("label").distinct(), "label", "left_semi").select(F.explode("t").alias("x")).select("x.node", "x.shingles").dropDuplicates(["node"])
+        each = scratch.written(todo.join(every.mapInArrow(unpacked, "node long, s array<long>"), "node"))
+        edges = edges.unionByName(prefix_links(each, num, den))
+    edges = scratch.written(edges)
+    scratch.drop(placed, tiles, own, todo)
+    return edges
 
 
 def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs: links have den * intersection >= num * union."""
-    rows = written(signatures(docs, key, text, width))
+    scratch = Scratch(docs.sparkSession)
+    trees, enough = forest_shape(num / den)
+    rows = scratch.written(signatures(docs, key, text, width, trees))
     named = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes_ = written(named.groupBy("node").agg(F.first("signature").alias("signature")))
-    blocks = components(forest_edges(classes_))
-    linked = components(true_links(docs, named.select("doc_id", "node", "n"), blocks, key, text, width, num, den))
-    part = named.select("doc_id", "node").join(linked, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
+    classes_ = scratch.written(named.groupBy("node").agg(F.first("signature").alias("signature"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies")))
+    edges = forest_edges(classes_, trees, enough, scratch)
+    blocks = components(edges, scratch)
+    linked = components(true_links(docs, classes_, blocks, key, text, width, num, den, trees * DEPTH, scratch), scratch)
+    part = classes_.select("node", "doc_id", "copies").join(linked, "node", "left").select("node", "doc_id", "copies", F.coalesce("label", "node").alias("label"))
     least = part.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of = written(part.select("node", "label").distinct().join(least, "label").select("node", "component_id"))
-    full = rows.where("n > 0").select("doc_id", "n", "node").join(of, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    of = scratch.written(part.select("node", "copies", "label").join(least, "label").select("node", "copies", "component_id"))
+    scratch.drop(edges, classes_)
+    # Many rows of one class would meet in one task; there are HOT such classes at most, and each task gets them all.
+    large = F.broadcast(of.where(F.col("copies") * HOT > rows.count()).select("node", F.struct("component_id").alias("large")))
+    narrow = rows.where("n > 0").select("doc_id", "n", "node").join(large, "node", "left")
+    full = narrow.where("large IS NOT NULL").select("doc_id", F.col("n").alias("n_shingles"), "large.component_id")
+    full = full.unionByName(narrow.where("large IS NULL").drop("large").join(of.select("node", "component_id"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     out = full.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).unionByName(empty)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
