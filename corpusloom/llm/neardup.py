@@ -10,9 +10,9 @@
 3. The connected parts of these candidate edges are blocks: whatever could be linked is in one block. A block goes, in
    tiles of bounded size, to tasks that intersect the full sets of a tile with each other and with the block's hub, the
    class that agrees most with the block's consensus signature. That joins most blocks, in one pass over their sets.
-4. What is still apart in a block of several tiles is compared by an inverted index: each class names the rarest of its
-   shingles that any link must share with it (a prefix by the threshold), and classes of different parts that name a
-   common one are intersected. Numbers of classes move, and sets only where a pair is verified.
+4. What is still apart in a block of several tiles goes through an inverted index: each class names the rarest of its
+   shingles that any link must share with it (a prefix by the threshold). Only classes that name one together with a class
+   of another part can still be linked; those outside the block's largest part are intersected with all of them, tile by tile.
 5. Components of true links; the smallest doc_id of each names it.
 
 The number of trees and the least share of equal minhashes follow from the threshold: either misses a pair of exactly the
@@ -220,8 +220,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def tile_links(nodes: list[int], sets: list[np.ndarray], num: int, den: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the true links between the sets."""
+def tile_links(nodes: list[int], sets: list[np.ndarray], num: int, den: int, part: dict[int, int] | None = None) -> tuple[list[int], list[int]]:
+    """A spanning forest of the true links between the sets, less what is in one part already."""
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), sizes)
@@ -250,7 +250,10 @@ def tile_links(nodes: list[int], sets: list[np.ndarray], num: int, den: int) ->
             x = parent[x]
         return x
 
-    a, b = [], []
+    a, b, first = [], [], {}
+    if part:
+        for x, n in enumerate(nodes):
+            parent[x] = first.setdefault(part[n], x)
     for x, y in zip(i.tolist(), j.tolist(), strict=True):
         p, q = root(x), root(y)
         if p != q:
@@ -265,42 +268,82 @@ def consensus(pdf: pd.DataFrame) -> pd.DataFrame:
     sig = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(pdf), -1)
     same = (sig[:, None, :] == sig[None, :, :]).sum(axis=1)
     modal = sig[same.argmax(axis=0), np.arange(sig.shape[1])]
-    return pd.DataFrame({"label": pdf["label"].iloc[:1], "modal": [modal.tobytes()]})
+    return pd.DataFrame({"label": pdf["label"].iloc[:1], "copies": pdf["copies"].iloc[:1], "modal": [modal.tobytes()]})
 
 
-def hubs_of(placed: DataFrame, classes_: DataFrame, minhashes_: int) -> DataFrame:
-    """(label, node) of the hub of each block of several tiles."""
-    several = placed.where("tiles > 1").select("label", "node").join(classes_.select("node", "signature").hint("merge"), "node")
-    voters = several.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("node"))).where(F.col("_r") <= VOTERS)
-    modal = voters.select("label", "signature").groupBy("label").applyInPandas(consensus, "label long, modal binary")
+def spread(rows: DataFrame, facts: DataFrame, on: str, total: int) -> DataFrame:
+    """rows with the columns of facts, which has one row a key and in `copies` the number of rows of the key.
+
+    The rows of a common key don't meet in one task: keys of over one in HOT rows, HOT at most, are broadcast."""
+    large = facts.where(F.col("copies") * HOT > total)
+    rest = rows.join(F.broadcast(large.select(on)), on, "left_anti").join(facts, on)
+    return rows.join(F.broadcast(large), on).unionByName(rest).drop("copies")
+
+
+def hubs_of(several: DataFrame, classes_: DataFrame, minhashes_: int, total: int) -> DataFrame:
+    """(label, node) of the hub of each block. several: label, node and copies, the classes of the block."""
+    signed = several.join(classes_.select("node", "signature").hint("merge"), "node")
+    voters = signed.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("node"))).where(F.col("_r") <= VOTERS)
+    modal = voters.select("label", "copies", "signature").groupBy("label", "copies").applyInPandas(consensus, "label long, copies long, modal binary")
     agree = F.expr(f"size(filter(sequence(0, {minhashes_ - 1}), i -> substring(signature, 4 * i + 1, 4) = substring(modal, 4 * i + 1, 4)))")
-    return several.join(modal, "label").groupBy("label").agg(F.max_by("node", F.struct(agree, F.col("node"))).alias("node"))
+    scored = spread(signed.drop("copies"), modal, "label", total).select("label", F.struct(agree.alias("agree"), "node").alias("x"))
+    return scored.groupBy("label").agg(F.max("x").alias("x")).select("label", "x.node")
 
 
-def prefix_links(each: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (a, b) of all links between different parts of a block. each: label, node, part, n, s (the set).
+def still_open(each: DataFrame, num: int, den: int) -> DataFrame:
+    """(label, node, part) of the classes that may be linked with a class of another part. each: label, node, part, n, shingles.
 
     Two linked sets share a shingle among the first n - ceil(n * num / den) + 1 of each, in any order that both keep; here the
     rarest of the block come first, so common shingles seldom name anybody."""
-    e = each.select("label", "node", "part", "n", F.explode("s").alias("s"))
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = [np.frombuffer(x, np.int64) for x in column_of(batch, "shingles").to_pylist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, flat)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *flat])))
+            yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in names), lists], [*names, "s"])
+
+    names = ["label", "node", "part", "n"]
+    e = each.mapInArrow(unpacked, "label long, node long, part long, n long, s array<long>").select(*names, F.explode("s").alias("s"))
     f = e.groupBy("label", "s").agg(F.count("*").alias("c"), (F.min("part") < F.max("part")).alias("mixed")).where("c > 1")
-    ranked = e.join(f, ["label", "s"]).groupBy("label", "node", "part", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s", "mixed"))).alias("l"))
+    ranked = e.join(f, ["label", "s"]).groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("c", "s", "mixed"))).alias("l"))
     # Shingles of one class alone come first and name nobody.
     length = F.expr(f"cast(greatest(0, size(l) + 1 - ceil(n * {num} / {den})) AS int)")
-    named = ranked.select("label", "node", "part", "n", F.explode(F.slice("l", F.lit(1), length)).alias("x")).where("x.mixed").select("label", "node", "part", "n", "x.s")
-    other = named.select("label", "s", *[F.col(c).alias(f"o_{c}") for c in ("node", "part", "n")])
-    fits = (F.col("part") < F.col("o_part")) & (F.col("n") * num <= F.col("o_n") * den) & (F.col("o_n") * num <= F.col("n") * den)
-    pairs = named.join(other, ["label", "s"]).where(fits).select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
-    left, right = (each.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}")) for x in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("s_a", "s_b")).cast("long"))
-    return both.where(F.col("i") * den >= (F.size("s_a") + F.size("s_b") - F.col("i")) * num).select("a", "b")
+    named = ranked.select("label", "node", "part", F.explode(F.slice("l", F.lit(1), length)).alias("x")).where("x.mixed").select("label", "node", "part", "x.s")
+    mixed = named.groupBy("label", "s").agg((F.min("part") < F.max("part")).alias("mixed")).where("mixed").select("label", "s")
+    return named.join(mixed, ["label", "s"], "left_semi").select("label", "node", "part").distinct()
+
+
+def late_links(each: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) between different parts of a block, with the components of all such links. each: label, node, part, n, shingles."""
+    left = scratch.written(still_open(each, num, den))
+    largest = left.groupBy("label", "part").agg(F.count("*").alias("c")).groupBy("label").agg(F.max_by("part", F.struct("c", "part")).alias("largest"), F.sum("c").alias("copies"))
+    tiled = spread(left, largest.withColumn("tiles", F.ceil(F.col("copies") / TILE_TEXTS)), "label", left.count())
+    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).join(each.select("node", "shingles").hint("merge"), "node")
+    item = F.struct("node", "part", "shingles")
+    tiles = scratch.written(tiled.groupBy("label", "tile", "tiles").agg(F.collect_list(item).alias("t"), F.collect_list(F.when(F.col("part") != F.col("largest"), item)).alias("u")))
+    asked = tiles.where("size(u) > 0").select("label", "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = {x["node"]: x for x in [*r["u"], *r["t"]]}
+                part = {n: x["part"] for n, x in own.items()}
+                a, b = tile_links([*own], [np.frombuffer(x["shingles"], np.uint64) for x in own.values()], num, den, part)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    edges = scratch.written(asked.join(tiles.select("label", "tile", "t"), ["label", "tile"]).select("u", "t").mapInArrow(across, "a long, b long"))
+    scratch.drop(left, tiles)
+    return edges
 
 
 def true_links(docs: DataFrame, classes_: DataFrame, blocks: DataFrame, key: str, text: str, width: int, num: int, den: int, minhashes_: int, scratch: Scratch) -> DataFrame:
     """Edges (a, b) with the components of all links with den * intersection >= num * union inside blocks (node, label)."""
-    one = classes_.select("node", "doc_id", "n").join(blocks, "node")
-    sizes = one.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / TILE_TEXTS), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("tiles"))
-    placed = scratch.written(one.join(sizes, "label").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))))
+    one = scratch.written(classes_.select("node", "doc_id", "n").join(blocks, "node"))
+    total = one.count()
+    sizes = one.groupBy("label").agg(F.count("*").alias("copies"), F.sum("n").alias("all"))
+    sizes = sizes.select("label", "copies", F.col("copies").alias("classes"), F.greatest(F.ceil(F.col("copies") / TILE_TEXTS), F.ceil(F.col("all") / TILE_SHINGLES)).alias("tiles"))
+    placed = scratch.written(spread(one, sizes, "label", total).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))))
+    scratch.drop(one, sweep=False)
     text_batches(docs.sparkSession)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,30 +373,23 @@ def true_links(docs: DataFrame, classes_: DataFrame, blocks: DataFrame, key: str
         edges = scratch.written(edges)
         scratch.drop(placed, tiles)
         return edges
-    hubs = hubs_of(placed, classes_, minhashes_).join(placed.select("node", "tile", "tiles"), "node")
+    own_block = placed.where("tiles > 1").select("label", "node", F.col("classes").alias("copies"))
+    hubs = hubs_of(own_block, classes_, minhashes_, total).join(placed.select("node", "tile", "tiles"), "node")
     there = hubs.join(several.select("label", "tile", "t"), ["label", "tile"]).select("label", F.expr("filter(t, x -> x.node = node)[0]").alias("hub"), "tiles")
     sent = there.select("label", "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
     joined = several.select("label", "tile", "t").join(sent, ["label", "tile"]).select(F.array_append("t", F.col("hub")).alias("t"))
     own = scratch.written(joined.mapInArrow(inside, "a long, b long"))
     parts = components(own, scratch).withColumnRenamed("label", "part")
-    members = placed.where("tiles > 1").select("label", "node", "n").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    apart = members.groupBy("label").agg((F.min("part") < F.max("part")).alias("apart")).where("apart").select("label")
-    todo = scratch.written(members.join(apart, "label"))
+    members = scratch.written(placed.where("tiles > 1").select("label", "node", "n").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
+    apart = members.groupBy("label").agg((F.min("part") < F.max("part")).alias("apart"), F.count("*").alias("copies")).where("apart").drop("apart")
+    todo = scratch.written(spread(members, apart, "label", total))
     edges = edges.unionByName(own)
     if not todo.isEmpty():
-
-        def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                flat = [np.frombuffer(x, np.int64) for x in column_of(batch, "shingles").to_pylist()]
-                at = np.cumsum([0, *map(len, flat)])
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *flat])))
-                yield pa.RecordBatch.from_arrays([column_of(batch, "node"), lists], ["node", "s"])
-
-        every = several.join(todo.select("label").distinct(), "label", "left_semi").select(F.explode("t").alias("x")).select("x.node", "x.shingles").dropDuplicates(["node"])
-        each = scratch.written(todo.join(every.mapInArrow(unpacked, "node long, s array<long>"), "node"))
-        edges = edges.unionByName(prefix_links(each, num, den))
+        every = several.select(F.explode("t").alias("x")).select("x.node", "x.shingles")
+        each = scratch.written(todo.join(every, "node").dropDuplicates(["node"]))
+        edges = edges.unionByName(late_links(each, num, den, scratch))
     edges = scratch.written(edges)
-    scratch.drop(placed, tiles, own, todo)
+    scratch.drop(placed, tiles, own, members, todo)
     return edges
 
 
@@ -367,17 +403,16 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     edges = forest_edges(classes_, trees, enough, scratch)
     blocks = components(edges, scratch)
     linked = components(true_links(docs, classes_, blocks, key, text, width, num, den, trees * DEPTH, scratch), scratch)
-    part = classes_.select("node", "doc_id", "copies").join(linked, "node", "left").select("node", "doc_id", "copies", F.coalesce("label", "node").alias("label"))
-    least = part.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of = scratch.written(part.select("node", "copies", "label").join(least, "label").select("node", "copies", "component_id"))
-    scratch.drop(edges, classes_)
-    # Many rows of one class would meet in one task; there are HOT such classes at most, and each task gets them all.
-    large = F.broadcast(of.where(F.col("copies") * HOT > rows.count()).select("node", F.struct("component_id").alias("large")))
-    narrow = rows.where("n > 0").select("doc_id", "n", "node").join(large, "node", "left")
-    full = narrow.where("large IS NOT NULL").select("doc_id", F.col("n").alias("n_shingles"), "large.component_id")
-    full = full.unionByName(narrow.where("large IS NULL").drop("large").join(of.select("node", "component_id"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
+    part = classes_.select("node", "doc_id", F.col("copies").alias("rows")).join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    part = scratch.written(part)
+    least = part.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("copies"))
+    of = scratch.written(spread(part.select("node", "rows", "label"), least, "label", part.count()).select("node", F.col("rows").alias("copies"), "component_id"))
+    scratch.drop(edges, classes_, part)
+    filled = rows.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "node")
+    full = spread(filled.where("doc_id IS NOT NULL"), of, "node", rows.count()).drop("node")
+    full = full.unionByName(filled.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast(rows.schema["doc_id"].dataType).alias("component_id")))
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = full.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).unionByName(empty)
+    out = full.select("doc_id", "n_shingles", "component_id").unionByName(empty)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

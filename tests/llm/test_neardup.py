@@ -86,5 +86,5 @@ def test_op4_shape_misses_less_than_stated():
 
 def test_op4_consensus():
     sig = [np.array(x, np.uint32).tobytes() for x in ([1, 2, 3], [1, 5, 3], [9, 2, 4])]
-    out = neardup.consensus(pd.DataFrame({"label": [7] * 3, "signature": sig}))
+    out = neardup.consensus(pd.DataFrame({"label": [7] * 3, "copies": [3] * 3, "signature": sig}))
     assert np.frombuffer(out["modal"][0], np.uint32).tolist() == [1, 2, 3] and list(out["label"]) == [7]
