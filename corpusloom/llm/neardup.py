@@ -10,9 +10,10 @@
 3. The connected parts of these candidate edges are blocks: whatever could be linked is in one block. A block goes, in
    tiles of bounded size, to tasks that intersect the full sets of a tile with each other and with the block's hub, the
    class that agrees most with the block's consensus signature. That joins most blocks, in one pass over their sets.
-4. What is still apart in a block of several tiles goes through an inverted index: each class names the rarest of its
-   shingles that any link must share with it (a prefix by the threshold). Only classes that name one together with a class
-   of another part can still be linked; those outside the block's largest part are intersected with all of them, tile by tile.
+4. What is still apart in a block of several tiles goes through an inverted index: each class names so many of its
+   shingles that any link must share one of them (a prefix by the threshold), those that the hub lacks before all others.
+   Only classes that name one together with a class of another part can still be linked; those outside the block's
+   largest part are intersected with all of them, tile by tile.
 5. Components of true links; the smallest doc_id of each names it.
 
 The number of trees and the least share of equal minhashes follow from the threshold: either misses a pair of exactly the
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bytewords import LOWER, NONSPACE, boundaries, by_value, classes, column_of, hashes, mix, slices
@@ -42,7 +43,7 @@ DEPTH, MISS = 4, 1e-6
 REGION, TILE_TEXTS, TILE_SHINGLES = 1000, 128, 1 << 17
 #: Rows of whole regions that go to Python at once, on average; a region has about REGION at most.
 LOT = 20000
-#: So many classes of a block, by their hashes, make its consensus signature. It only chooses the hub.
+#: About so many classes of a block, by their hashes, make its consensus signature. It only chooses the hub.
 VOTERS = 32
 #: A class of over one in HOT rows is looked up by broadcast; there can be HOT of them at most.
 HOT = 1024
@@ -283,42 +284,38 @@ def spread(rows: DataFrame, facts: DataFrame, on: str, total: int) -> DataFrame:
 def hubs_of(several: DataFrame, classes_: DataFrame, minhashes_: int, total: int) -> DataFrame:
     """(label, node) of the hub of each block. several: label, node and copies, the classes of the block."""
     signed = several.join(classes_.select("node", "signature").hint("merge"), "node")
-    voters = signed.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("node"))).where(F.col("_r") <= VOTERS)
+    voters = signed.where(F.pmod(F.xxhash64(F.lit(2), "node"), F.col("copies")) < VOTERS)
     modal = voters.select("label", "copies", "signature").groupBy("label", "copies").applyInPandas(consensus, "label long, copies long, modal binary")
     agree = F.expr(f"size(filter(sequence(0, {minhashes_ - 1}), i -> substring(signature, 4 * i + 1, 4) = substring(modal, 4 * i + 1, 4)))")
     scored = spread(signed.drop("copies"), modal, "label", total).select("label", F.struct(agree.alias("agree"), "node").alias("x"))
     return scored.groupBy("label").agg(F.max("x").alias("x")).select("label", "x.node")
 
 
-def still_open(each: DataFrame, num: int, den: int) -> DataFrame:
-    """(label, node, part) of the classes that may be linked with a class of another part. each: label, node, part, n, shingles.
+def still_open(tiles: DataFrame, todo: DataFrame, num: int, den: int) -> DataFrame:
+    """(label, node, part) of the classes that may be linked with a class of another part. tiles: label, t, of which the last is the hub; todo: label, node, part.
 
-    Two linked sets share a shingle among the first n - ceil(n * num / den) + 1 of each, in any order that both keep; here the
-    rarest of the block come first, so common shingles seldom name anybody."""
+    Two linked sets share a shingle among the first n - ceil(n * num / den) + 1 of each, in any order that all sets of a block
+    keep. What the hub lacks comes first, so shingles that many texts of the block have seldom name anybody."""
 
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = [np.frombuffer(x, np.int64) for x in column_of(batch, "shingles").to_pylist()]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, flat)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *flat])))
-            yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in names), lists], [*names, "s"])
-
-    names = ["label", "node", "part", "n"]
-    e = each.mapInArrow(unpacked, "label long, node long, part long, n long, s array<long>").select(*names, F.explode("s").alias("s"))
-    f = e.groupBy("label", "s").agg(F.count("*").alias("c"), (F.min("part") < F.max("part")).alias("mixed")).where("c > 1")
-    ranked = e.join(f, ["label", "s"]).groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("c", "s", "mixed"))).alias("l"))
-    # Shingles of one class alone come first and name nobody.
-    length = F.expr(f"cast(greatest(0, size(l) + 1 - ceil(n * {num} / {den})) AS int)")
-    named = ranked.select("label", "node", "part", F.explode(F.slice("l", F.lit(1), length)).alias("x")).where("x.mixed").select("label", "node", "part", "x.s")
+            for label, t in zip(column_of(batch, "label").to_pylist(), column_of(batch, "t").to_pylist(), strict=True):
+                hub = np.frombuffer(t[-1]["shingles"], np.uint64) if t[-1] else np.zeros(0, np.uint64)
+                own = {x["node"]: np.frombuffer(x["shingles"], np.uint64) for x in t[:-1]}
+                first = [x[np.lexsort((x, np.isin(x, hub)))][: len(x) + 1 - -(-len(x) * num // den)] for x in own.values()]
+                nodes = np.repeat(np.array([*own], np.int64), [len(x) for x in first])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), label)), pa.array(nodes), pa.array(np.concatenate(first).view(np.int64))], ["label", "node", "s"])
+
+    named = tiles.select("label", "t").mapInArrow(prefixes, "label long, node long, s long").join(todo.select("node", "part"), "node")
     mixed = named.groupBy("label", "s").agg((F.min("part") < F.max("part")).alias("mixed")).where("mixed").select("label", "s")
     return named.join(mixed, ["label", "s"], "left_semi").select("label", "node", "part").distinct()
 
 
-def late_links(each: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Edges (a, b) between different parts of a block, with the components of all such links. each: label, node, part, n, shingles."""
-    left = scratch.written(still_open(each, num, den))
+def late_links(left: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) with the components of all links between different parts of a block. left: label, node, part; sets: node, shingles."""
     largest = left.groupBy("label", "part").agg(F.count("*").alias("c")).groupBy("label").agg(F.max_by("part", F.struct("c", "part")).alias("largest"), F.sum("c").alias("copies"))
     tiled = spread(left, largest.withColumn("tiles", F.ceil(F.col("copies") / TILE_TEXTS)), "label", left.count())
-    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).join(each.select("node", "shingles").hint("merge"), "node")
+    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).join(sets.hint("merge"), "node").dropDuplicates(["node"])
     item = F.struct("node", "part", "shingles")
     tiles = scratch.written(tiled.groupBy("label", "tile", "tiles").agg(F.collect_list(item).alias("t"), F.collect_list(F.when(F.col("part") != F.col("largest"), item)).alias("u")))
     asked = tiles.where("size(u) > 0").select("label", "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
@@ -332,7 +329,7 @@ def late_links(each: DataFrame, num: int, den: int, scratch: Scratch) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     edges = scratch.written(asked.join(tiles.select("label", "tile", "t"), ["label", "tile"]).select("u", "t").mapInArrow(across, "a long, b long"))
-    scratch.drop(left, tiles)
+    scratch.drop(tiles)
     return edges
 
 
@@ -363,7 +360,7 @@ def true_links(docs: DataFrame, classes_: DataFrame, blocks: DataFrame, key: str
         for batch in batches:
             for t in column_of(batch, "t").to_pylist():
                 # Equal names are one class, met again if rows repeat or the hub is of this tile.
-                own = {x["node"]: np.frombuffer(x["shingles"], np.uint64) for x in t}
+                own = {x["node"]: np.frombuffer(x["shingles"], np.uint64) for x in t if x}
                 a, b = tile_links([*own], [*own.values()], num, den)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -376,18 +373,17 @@ def true_links(docs: DataFrame, classes_: DataFrame, blocks: DataFrame, key: str
     own_block = placed.where("tiles > 1").select("label", "node", F.col("classes").alias("copies"))
     hubs = hubs_of(own_block, classes_, minhashes_, total).join(placed.select("node", "tile", "tiles"), "node")
     there = hubs.join(several.select("label", "tile", "t"), ["label", "tile"]).select("label", F.expr("filter(t, x -> x.node = node)[0]").alias("hub"), "tiles")
-    sent = there.select("label", "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
-    joined = several.select("label", "tile", "t").join(sent, ["label", "tile"]).select(F.array_append("t", F.col("hub")).alias("t"))
-    own = scratch.written(joined.mapInArrow(inside, "a long, b long"))
+    sent = there.dropDuplicates(["label"]).select("label", "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
+    joined = several.select("label", "tile", "t").join(sent, ["label", "tile"], "left").select("label", F.array_append("t", F.col("hub")).alias("t"))
+    own = scratch.written(joined.select("t").mapInArrow(inside, "a long, b long"))
     parts = components(own, scratch).withColumnRenamed("label", "part")
     members = scratch.written(placed.where("tiles > 1").select("label", "node", "n").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
     apart = members.groupBy("label").agg((F.min("part") < F.max("part")).alias("apart"), F.count("*").alias("copies")).where("apart").drop("apart")
     todo = scratch.written(spread(members, apart, "label", total))
     edges = edges.unionByName(own)
     if not todo.isEmpty():
-        every = several.select(F.explode("t").alias("x")).select("x.node", "x.shingles")
-        each = scratch.written(todo.join(every, "node").dropDuplicates(["node"]))
-        edges = edges.unionByName(late_links(each, num, den, scratch))
+        left = scratch.written(still_open(joined.join(todo.select("label").distinct(), "label", "left_semi"), todo, num, den))
+        edges = edges.unionByName(late_links(left, several.select(F.explode("t").alias("x")).select("x.node", "x.shingles"), num, den, scratch))
     edges = scratch.written(edges)
     scratch.drop(placed, tiles, own, members, todo)
     return edges
