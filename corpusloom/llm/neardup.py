@@ -291,7 +291,7 @@ def hubs_of(several: DataFrame, classes_: DataFrame, minhashes_: int, total: int
     return scored.groupBy("label").agg(F.max("x").alias("x")).select("label", "x.node")
 
 
-def still_open(tiles: DataFrame, todo: DataFrame, num: int, den: int) -> DataFrame:
+def still_open(tiles: DataFrame, todo: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """(label, node, part) of the classes that may be linked with a class of another part. tiles: label, t, of which the last is the hub; todo: label, node, part.
 
     Two linked sets share a shingle among the first n - ceil(n * num / den) + 1 of each, in any order that all sets of a block
@@ -306,9 +306,12 @@ def still_open(tiles: DataFrame, todo: DataFrame, num: int, den: int) -> DataFra
                 nodes = np.repeat(np.array([*own], np.int64), [len(x) for x in first])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), label)), pa.array(nodes), pa.array(np.concatenate(first).view(np.int64))], ["label", "node", "s"])
 
-    named = tiles.select("label", "t").mapInArrow(prefixes, "label long, node long, s long").join(todo.select("node", "part"), "node")
-    mixed = named.groupBy("label", "s").agg((F.min("part") < F.max("part")).alias("mixed")).where("mixed").select("label", "s")
-    return named.join(mixed, ["label", "s"], "left_semi").select("label", "node", "part").distinct()
+    named = scratch.written(tiles.select("label", "t").mapInArrow(prefixes, "label long, node long, s long").join(todo.select("node", "part"), "node"))
+    # Written, so that both sides of the join come from shuffles and a common shingle's rows can be split.
+    mixed = scratch.written(named.groupBy("label", "s").agg((F.min("part") < F.max("part")).alias("mixed")).where("mixed").select("label", "s"))
+    left = scratch.written(named.join(mixed, ["label", "s"], "left_semi").select("label", "node", "part").distinct())
+    scratch.drop(named, mixed, sweep=False)
+    return left
 
 
 def late_links(left: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -382,7 +385,7 @@ def true_links(docs: DataFrame, classes_: DataFrame, blocks: DataFrame, key: str
     todo = scratch.written(spread(members, apart, "label", total))
     edges = edges.unionByName(own)
     if not todo.isEmpty():
-        left = scratch.written(still_open(joined.join(todo.select("label").distinct(), "label", "left_semi"), todo, num, den))
+        left = still_open(joined.join(todo.select("label").distinct(), "label", "left_semi"), todo, num, den, scratch)
         edges = edges.unionByName(late_links(left, several.select(F.explode("t").alias("x")).select("x.node", "x.shingles"), num, den, scratch))
     edges = scratch.written(edges)
     scratch.drop(placed, tiles, own, members, todo)
