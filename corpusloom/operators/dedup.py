@@ -1,29 +1,60 @@
-"""First-wins dedup and exclusion, with a reason for every row."""
+"""First-wins dedup and exclusion, with a reason for every row. A null key is a key like any other."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _same(key: list[str], other: str = "_k_") -> Column:
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(other + k)) for k in key])
+
+
+def _named(df: DataFrame, key: list[str], *rest: Column) -> DataFrame:
+    return df.select(*[F.col(k).alias("_k_" + k) for k in key], *rest)
+
+
 def first_wins(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The row of least `order` of each key. Partial aggregates meet a key's copies before the shuffle; null keys are a key."""
-    rows = df.groupBy(*key).agg(F.min_by(F.struct(*df.columns), order).alias("_r"))
-    return rows.select("_r.*")
+    """The row of least `order` of each key; only keys and orders meet in the aggregate, and whole rows are picked by a semi-join. Orders are unique."""
+    least = df.groupBy(*key).agg(F.min(order).alias("_least"))
+    return df.join(least.select(F.col("_least").alias("_o")), F.col(order).eqNullSafe(F.col("_o")), "left_semi")
 
 
 def verdicts(df: DataFrame, key: list[str], order: str, excluded: DataFrame | None = None, blank: Column | None = None) -> DataFrame:
     """df with verdict: empty, excluded (key in `excluded`, before all else), duplicate (not the first of its key) or kept."""
     marked = df.withColumn("_blank", F.coalesce(blank, F.lit(True)) if blank is not None else F.lit(False))
+    filled = marked.where("NOT _blank")
     if excluded is not None:
-        marked = marked.join(excluded.select(*key).distinct().withColumn("_out", F.lit(True)), key, "left")
+        out = _named(excluded, key).distinct().withColumn("_out", F.lit(True))
+        filled = filled.join(out, _same(key), "left").drop(*["_k_" + k for k in key])
     else:
-        marked = marked.withColumn("_out", F.lit(None).cast("boolean"))
-    open_ = marked.where("NOT _blank AND _out IS NULL")
-    firsts = open_.groupBy(*key).agg(F.min(order).alias("_first"))
-    joined = marked.join(firsts, key, "left")
-    verdict = F.when(F.col("_blank"), "empty").when(F.col("_out"), "excluded").when(F.col(order) == F.col("_first"), "kept").otherwise("duplicate")
-    return joined.withColumn("verdict", verdict).select(*df.columns, "verdict")
+        filled = filled.withColumn("_out", F.lit(None).cast("boolean"))
+    firsts = filled.where("_out IS NULL").groupBy(*key).agg(F.min(order).alias("_first"))
+    joined = filled.join(_named(firsts, key, F.col("_first")), _same(key), "left")
+    verdict = F.when(F.col("_out"), "excluded").when(F.col(order).eqNullSafe(F.col("_first")), "kept").otherwise("duplicate")
+    # Blank rows share one key; they take no part in the joins.
+    return joined.select(*df.columns, verdict.alias("verdict")).unionByName(marked.where("_blank").select(*df.columns, F.lit("empty").alias("verdict")))
+
+
+def verdict_counts(df: DataFrame, key: list[str], order: str, by: list[str], excluded: DataFrame | None = None, blank: Column | None = None) -> DataFrame:
+    """How many rows of each verdict, by further columns: the counts of `verdicts` from one aggregate a key, without a join back."""
+    rows = df.withColumn("_blank", F.coalesce(blank, F.lit(True)) if blank is not None else F.lit(False))
+    filled = rows.where("NOT _blank").select(*key, *by, F.col(order).alias("_o"), F.lit(False).alias("_out"))
+    if excluded is not None:
+        none = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in by]
+        filled = filled.unionByName(excluded.select(*key, *none, F.lit(None).cast(df.schema[order].dataType).alias("_o"), F.lit(True).alias("_out")).distinct())
+    # A key's rows are counted by `by` first, so a common key is a few rows.
+    few = filled.groupBy(*key, *by).agg(F.count("_o").alias("_n"), F.min("_o").alias("_o"), F.max("_out").alias("_out"))
+    item = F.struct("_o", *by, "_n")
+    keyed = few.groupBy(*key).agg(F.max("_out").alias("_out"), F.collect_list(F.when(F.col("_n") > 0, item)).alias("_l"))
+    each = keyed.select("_out", F.array_min("_l").alias("_first"), F.explode("_l").alias("_x"))
+    kept = F.when(F.col("_out"), 0).when(F.col("_x._o") == F.col("_first._o"), 1).otherwise(0)
+    counts = F.map_from_arrays(F.array(F.lit("excluded"), F.lit("kept"), F.lit("duplicate")), F.array(F.when(F.col("_out"), F.col("_x._n")).otherwise(0), kept.cast("long"), F.when(F.col("_out"), 0).otherwise(F.col("_x._n") - kept)))
+    split = each.select(*[F.col(f"_x.{c}").alias(c) for c in by], F.explode(counts).alias("verdict", "_n")).where("_n > 0")
+    empty = rows.where("_blank").select(*by, F.lit("empty").alias("verdict"), F.lit(1).cast("long").alias("_n"))
+    return split.unionByName(empty).groupBy(*by, "verdict").agg(F.sum("_n").alias("n"))
 
 
 def exclude_pairs(pairs: DataFrame, dev: DataFrame, src: str = "src", tgt: str = "tgt", mirrored: bool = True, lines: bool = False) -> DataFrame:
@@ -32,7 +63,7 @@ def exclude_pairs(pairs: DataFrame, dev: DataFrame, src: str = "src", tgt: str =
     both = own.unionByName(own.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))) if mirrored else own
     left = pairs.join(both.distinct(), (F.col(src) == F.col("_a")) & (F.col(tgt) == F.col("_b")), "left_anti")
     if lines:
-        one = own.select(F.explode(F.array("_a", "_b")).alias("_l")).distinct()
+        one = own.select(F.explode(F.array("_a", "_b")).alias("_l")).where("_l IS NOT NULL").distinct()
         left = left.join(one.select(F.col("_l").alias("_x"), F.lit(True).alias("_in_s")), F.col(src) == F.col("_x"), "left")
         left = left.join(one.select(F.col("_l").alias("_y"), F.lit(True).alias("_in_t")), F.col(tgt) == F.col("_y"), "left")
         left = left.where("NOT (coalesce(_in_s, false) AND coalesce(_in_t, false))").select(*pairs.columns)
@@ -41,12 +72,15 @@ def exclude_pairs(pairs: DataFrame, dev: DataFrame, src: str = "src", tgt: str =
 
 def clean_forward(pairs: DataFrame, dev: DataFrame, eligible: Column, key: list[str], order: str, lang: str) -> tuple[DataFrame, DataFrame]:
     """(pairs with verdict, dev keys hit): a dev pair of the same language goes, then later pairs of any language; the rest pass."""
-    open_, rest = pairs.where(eligible), pairs.where(~F.coalesce(eligible, F.lit(False)))
-    hit = open_.join(dev.select(lang, *key).distinct(), [lang, *key], "left_semi").select(*key).distinct()
-    scoped = open_.join(dev.select(lang, *key).distinct().withColumn("_dev", F.lit(True)), [lang, *key], "left")
+    eligible = F.coalesce(eligible, F.lit(False))
+    open_, scope = pairs.where(eligible), [lang, *key]
+    held = _named(dev.select(*scope), scope).distinct()
+    hit = open_.join(held, _same(scope), "left_semi").select(*key).distinct()
+    scoped = open_.join(held.withColumn("_dev", F.lit(True)), _same(scope), "left").drop(*["_k_" + k for k in scope])
     firsts = scoped.where("_dev IS NULL").groupBy(*key).agg(F.min(order).alias("_first"))
-    done = scoped.join(firsts, key, "left").withColumn("verdict", F.when(F.col("_dev"), "excluded").when(F.col(order) == F.col("_first"), "kept").otherwise("duplicate"))
-    return done.select(*pairs.columns, "verdict").unionByName(rest.withColumn("verdict", F.lit("passed"))), hit
+    done = scoped.join(_named(firsts, key, F.col("_first")), _same(key), "left")
+    done = done.withColumn("verdict", F.when(F.col("_dev"), "excluded").when(F.col(order).eqNullSafe(F.col("_first")), "kept").otherwise("duplicate"))
+    return done.select(*pairs.columns, "verdict").unionByName(pairs.where(~eligible).withColumn("verdict", F.lit("passed"))), hit
 
 
 def clean_reverse(pairs: DataFrame, hit: DataFrame, eligible: Column, key: list[str], order: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import curation
+from corpusloom.plans import curation, evaluation, exchange, training
 
-_MODULES = (curation,)
+_MODULES = (curation, exchange, training, evaluation)
 
 
 def queries() -> dict:

@@ -2,36 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import chat, dedup, metrics, packing, sampling, tensors
+from corpusloom.operators import chat, dedup, packing, reports, sampling
+from corpusloom.plans.registry import registered
 from corpusloom.sources import readers
 
+#: A row's place: its document's number and its own place in the document, which is an int.
+WIDE = 1 << 31
+
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _ord(key: str, pos: str) -> Column:
+    return (F.col(key) * WIDE + F.col(pos)).alias("ord")
+
+
 def lines(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return rows.select("doc_id", "lang", (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("ord"), X.strip(F.col("line")).alias("line")).where("line <> ''")
+    return rows.select("doc_id", "lang", _ord("doc_id", "pos"), X.strip(F.col("line")).alias("line")).where("line <> ''")
 
 
 def sentences(docs: DataFrame, key: str) -> DataFrame:
     rows = docs.select(F.col(key).alias("id"), *[c for c in ("lang",) if c in docs.columns], F.posexplode(F.split("text", r"[.!?]\s+|\n", -1)).alias("pos", "s"))
-    return rows.withColumn("ord", F.col("id") * 1_000_000 + F.col("pos")).withColumn("s", X.strip(F.col("s"))).withColumn("k", X.pair_key(F.col("s"), unicode=False))
+    return rows.withColumn("ord", _ord("id", "pos")).withColumn("s", X.strip(F.col("s")))
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    all_ = lines(spark, d)
-    nxt = all_.select((F.col("ord") - 1).alias("ord"), F.col("line").alias("tgt"))
-    return all_.withColumnRenamed("line", "src").join(nxt, "ord")
+    """Each line with the next one of its document, where neither is blank: within the document's own array, without a join."""
+    docs = read(spark, d, "documents").select("doc_id", "lang", F.transform(F.split("text", "\n", -1), X.strip).alias("l"))
+    both = F.arrays_zip(F.col("l").alias("src"), F.slice("l", F.lit(2), F.size("l")).alias("tgt"))
+    rows = docs.select("doc_id", "lang", F.posexplode(both).alias("pos", "p"))
+    return rows.select("doc_id", "lang", _ord("doc_id", "pos"), F.col("p.src").alias("src"), F.col("p.tgt").alias("tgt")).where("src <> '' AND tgt <> ''")
+
+
+def keyed_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs known by their normalised sides."""
+    return pairs(spark, d).withColumn("src", X.pair_key(F.col("src"))).withColumn("tgt", X.pair_key(F.col("tgt")))
 
 
 _LINES = r"""raw AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS raw_line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-lines AS (SELECT doc_id, lang, doc_id * 1000000 + pos AS ord, regexp_replace(raw_line, '^\s+|\s+$', '', 'g') AS line FROM raw WHERE regexp_replace(raw_line, '^\s+|\s+$', '', 'g') <> '')"""
+lines AS (SELECT doc_id, lang, doc_id * 2147483648 + pos AS ord, regexp_replace(raw_line, '^\s+|\s+$', '', 'g') AS line FROM raw WHERE regexp_replace(raw_line, '^\s+|\s+$', '', 'g') <> '')"""
 _PAIRS = _LINES + ", pairs AS (SELECT a.ord, a.doc_id, a.lang, a.line AS src, b.line AS tgt FROM lines a JOIN lines b ON b.ord = a.ord + 1)"
 
 
@@ -39,8 +54,15 @@ def _key(c: str) -> str:
     return rf"regexp_replace(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g')"
 
 
+def _dedup_key(c: str) -> str:
+    return rf"lower(regexp_replace(regexp_replace(regexp_replace({c}, '\p{{C}}', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))"
+
+
+_KEYED = _PAIRS + f", keyed AS (SELECT ord, doc_id, lang, {_key('src')} AS src, {_key('tgt')} AS tgt FROM pairs)"
+
+
 def _sent(table: str, key: str, extra: str = "") -> str:
-    return rf"(SELECT id, {extra} id * 1000000 + pos AS ord, regexp_replace(s, '^\s+|\s+$', '', 'g') AS s, {_key('s')} AS k FROM (SELECT {key} AS id, {extra} unnest(regexp_split_to_array(text, '[.!?]\s+|\n')) AS s, generate_subscripts(regexp_split_to_array(text, '[.!?]\s+|\n'), 1) - 1 AS pos FROM {table}))"
+    return rf"(SELECT id, {extra} id * 2147483648 + pos AS ord, regexp_replace(s, '^\s+|\s+$', '', 'g') AS s, {_dedup_key('s')} AS k FROM (SELECT {key} AS id, {extra} unnest(regexp_split_to_array(text, '[.!?]\s+|\n')) AS s, generate_subscripts(regexp_split_to_array(text, '[.!?]\s+|\n'), 1) - 1 AS pos FROM {table}))"
 
 
 _TOK = r"regexp_extract_all(line, '\S+')"
@@ -48,16 +70,7 @@ _VERDICT = rf"""CASE WHEN len({_TOK}) < 6 OR len({_TOK}) > 80 THEN 'len' WHEN re
  WHEN len(regexp_extract_all(line, '\p{{Lu}}')) > 0.5 * len(regexp_extract_all(line, '\p{{L}}')) THEN 'upper'
  WHEN len(list_filter({_TOK}, lambda t: regexp_matches(t, '\p{{L}}'))) < 0.6 * len({_TOK}) THEN 'alpha' ELSE 'ok' END"""
 QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+query = registered(QUERIES, SQL)
 
 
 @query(f"WITH {_LINES} SELECT ord, line FROM lines")
@@ -75,7 +88,7 @@ def normalize_pair_key(s, d):
     return read(s, d, "documents").select("doc_id", F.md5(X.pair_key(F.col("text"))).alias("key"))
 
 
-@query(rf"SELECT doc_id, md5(lower(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))) AS key FROM documents")
+@query(f"SELECT doc_id, md5({_dedup_key('text')}) AS key FROM documents")
 def normalize_dedup_key(s, d):
     return read(s, d, "documents").select("doc_id", F.md5(X.dedup_key(F.col("text"))).alias("key"))
 
@@ -94,24 +107,26 @@ def exact_line_dedup(s, d):
  v AS (SELECT lang, CASE WHEN d.k = '' THEN 'empty' WHEN d.k IN (SELECT k FROM b) THEN 'excluded' WHEN row_number() OVER (PARTITION BY d.k ORDER BY ord) = 1 THEN 'kept' ELSE 'duplicate' END AS verdict FROM d)
  SELECT lang, verdict, count(*) AS n FROM v GROUP BY ALL""")
 def normalized_sentence_dedup(s, d):
-    own, dev = sentences(read(s, d, "documents"), "doc_id"), sentences(read(s, d, "benchmark"), "item_id")
-    return dedup.verdicts(own, ["k"], "ord", dev, F.col("k") == "").groupBy("lang", "verdict").agg(F.count("*").alias("n"))
+    own, dev = (sentences(read(s, d, t), k).withColumn("s", X.dedup_key(F.col("s"))) for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    # A digest is all that moves of a sentence.
+    own, dev = (x.withColumn("k", F.md5("s")) for x in (own, dev))
+    return dedup.verdict_counts(own, ["k"], "ord", ["lang"], dev, F.col("s") == "")
 
 
-@query(rf"WITH d AS (SELECT doc_id, {_key('substr(text, 1, 500)')} AS k FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 10) SELECT min(doc_id) AS doc_id FROM d GROUP BY k")
+@query(rf"WITH d AS (SELECT doc_id, {_dedup_key('substr(text, 1, 500)')} AS k FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 10) SELECT min(doc_id) AS doc_id FROM d GROUP BY k")
 def prefix_document_dedup(s, d):
     docs = read(s, d, "documents").where(F.length(X.strip(F.col("text"))) > 10)
     return dedup.first_wins(docs.select("doc_id", X.dedup_key(F.substring("text", 1, 500)).alias("k")), ["k"], "doc_id").select("doc_id")
 
 
-@query(f"""WITH {_PAIRS}, dev AS (SELECT src, tgt FROM pairs WHERE doc_id < 50), k AS (SELECT ord, src, tgt FROM pairs p WHERE doc_id >= 50
+@query(f"""WITH {_KEYED}, dev AS (SELECT src, tgt FROM keyed WHERE doc_id < 50), k AS (SELECT ord, src, tgt FROM keyed p WHERE doc_id >= 50
   AND NOT EXISTS (SELECT 1 FROM dev WHERE (dev.src = p.src AND dev.tgt = p.tgt) OR (dev.src = p.tgt AND dev.tgt = p.src))
   AND NOT (p.src IN (SELECT src FROM dev UNION SELECT tgt FROM dev) AND p.tgt IN (SELECT src FROM dev UNION SELECT tgt FROM dev)))
  SELECT min(ord) AS ord FROM k GROUP BY src, tgt""")
 def parallel_pair_dedup(s, d):
-    p = pairs(s, d)
+    p = keyed_pairs(s, d)
     left = dedup.exclude_pairs(p.where("doc_id >= 50"), p.where("doc_id < 50"), lines=True)
-    return dedup.first_wins(left.select("ord", "src", "tgt"), ["src", "tgt"], "ord").select("ord")
+    return left.groupBy(F.md5("src"), F.md5("tgt")).agg(F.min("ord").alias("ord")).select("ord")
 
 
 @query(f"""WITH d AS {_sent('documents', 'doc_id')}, b AS {_sent('benchmark', 'item_id')}
@@ -128,9 +143,12 @@ def strided_shards(s, d):
     return rows.select("doc_id", (F.col("row_index") % 4).alias("shard"), F.floor(F.col("row_index") / 64).alias("batch"))
 
 
-@query("SELECT doc_id, lower(trim(lang)) AS code, lower(trim(lang)) IN ('de', 'fr') AS is_target FROM documents")
+@query("""WITH c AS (SELECT doc_id, lower(trim(CASE doc_id % 4 WHEN 0 THEN ' German ' WHEN 1 THEN 'SLV' WHEN 2 THEN 'fr' ELSE lang END)) AS c FROM documents),
+ n AS (SELECT doc_id, CASE c WHEN 'german' THEN 'de' WHEN 'slv' THEN 'sl' ELSE c END AS code FROM c)
+ SELECT doc_id, code, code IN ('en', 'de', 'pl', 'cs', 'sk', 'sl') AS is_target FROM n""")
 def lang_filter(s, d):
-    return read(s, d, "documents").select("doc_id", X.language(F.col("lang")).alias("code")).withColumn("is_target", F.col("code").isin("de", "fr"))
+    raw = F.when(F.col("doc_id") % 4 == 0, " German ").when(F.col("doc_id") % 4 == 1, "SLV").when(F.col("doc_id") % 4 == 2, "fr").otherwise(F.col("lang"))
+    return read(s, d, "documents").select("doc_id", X.language(raw).alias("code")).withColumn("is_target", F.col("code").isin(*X.TARGETS))
 
 
 @query(f"WITH {_PAIRS} SELECT ord, md5('<|im_start|>system' || chr(10) || 'Translate from ' || lang || '.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || src || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || tgt || '<|im_end|>' || chr(10)) AS chat FROM pairs")
@@ -139,19 +157,30 @@ def mt_chat_format(s, d):
     return p.select("ord", F.md5(chat.chatml("m")).alias("chat"))
 
 
-@query(f"WITH {_PAIRS} SELECT lang AS src_lang, 'en' AS tgt_lang, count(*) AS n FROM pairs GROUP BY lang UNION ALL SELECT 'en', lang, count(*) FROM pairs WHERE lang <> 'de' AND lang <> 'en' GROUP BY lang UNION ALL SELECT 'en', 'en', count(*) FROM pairs WHERE lang = 'en' HAVING count(*) > 0")
+@query(f"""WITH {_PAIRS}, b AS (SELECT lang AS src_lang, 'en' AS tgt_lang FROM pairs UNION ALL SELECT 'en', lang FROM pairs WHERE lang <> 'de')
+ SELECT src_lang, tgt_lang, count(*) AS n FROM b GROUP BY ALL""")
 def direction_fanout(s, d):
     p = pairs(s, d).select("src", "tgt", F.col("lang").alias("src_lang"), F.lit("en").alias("tgt_lang"))
-    both = chat.directions(p).groupBy("src_lang", "tgt_lang").agg(F.count("*").alias("n"))
-    # A pair of one language goes both ways; its two directions are reported apart.
-    halves = F.when(F.col("src_lang") == F.col("tgt_lang"), F.array((F.col("n") / 2).cast("long"), (F.col("n") / 2).cast("long"))).otherwise(F.array("n"))
-    return both.select("src_lang", "tgt_lang", F.explode(halves).alias("n"))
+    return reports.direction_counts(chat.directions(p))
 
 
-@query("SELECT conv_id * 1000 + max(turn) AS leaf, string_agg(cast(conv_id * 1000 + turn AS VARCHAR), '/' ORDER BY turn) AS path FROM conversations GROUP BY conv_id")
+@query("""WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 1 AND turn % 3 = 2 THEN conv_id * 1000 + turn - 2 WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent FROM conversations),
+ p AS (SELECT id, cast(id AS VARCHAR) AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.id, p.path || '/' || t.id FROM t JOIN p ON t.parent = p.id)
+ SELECT id AS leaf, path FROM p WHERE id NOT IN (SELECT parent FROM t WHERE parent IS NOT NULL)""")
 def tree_paths(s, d):
-    c = read(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent"))
-    return chat.tree_paths(c).select("leaf", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
+    c, key = read(s, d, "conversations"), F.col("conv_id") * 1000 + F.col("turn")
+    up = F.when((F.col("turn") > 1) & (F.col("turn") % 3 == 2), key - 2).when(F.col("turn") > 0, key - 1)
+    return chat.tree_paths(c.select(key.alias("id"), up.alias("parent"))).select("leaf", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
+
+
+@query("""WITH c AS (SELECT conv_id, list({'turn': turn, 'role': role} ORDER BY turn) AS m, bool_or(conv_id % 5 = 0 AND turn = 1) AS gone FROM conversations GROUP BY conv_id)
+ SELECT conv_id, len(m) AS n FROM c WHERE len(m) >= 2 AND m[1].role = 'user' AND m[-1].role = 'assistant' AND NOT gone AND conv_id % 3 <> 1""")
+def valid_tree_paths(s, d):
+    c = read(s, d, "conversations")
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    nodes = c.select(key.alias("id"), "role", "text", F.when(F.col("conv_id") % 3 == 1, "german").otherwise("de").alias("lang"), ((F.col("conv_id") % 5 == 0) & (F.col("turn") == 1)).alias("deleted"))
+    paths = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(key)).alias("path")).select(F.col("conv_id").alias("leaf"), "path")
+    return chat.conversations_of(paths, nodes, ("de", "en")).select(F.col("leaf").alias("conv_id"), F.size("messages").cast("long").alias("n"))
 
 
 @query("SELECT conv_id, md5(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn)) AS chat FROM conversations GROUP BY conv_id")
@@ -160,19 +189,19 @@ def chatml_render(s, d):
     return m.select("conv_id", F.md5(chat.chatml("m")).alias("chat"))
 
 
-@query(f"""WITH {_PAIRS}, dev AS (SELECT DISTINCT lang, src, tgt FROM pairs WHERE doc_id < 50),
- v AS (SELECT ord, CASE WHEN lang = 'fr' THEN 'passed' WHEN (lang, src, tgt) IN (SELECT lang, src, tgt FROM dev) THEN 'excluded' END AS v0, src, tgt FROM pairs)
+@query(f"""WITH {_KEYED}, dev AS (SELECT DISTINCT lang, src, tgt FROM keyed WHERE doc_id < 50),
+ v AS (SELECT ord, CASE WHEN lang = 'fr' THEN 'passed' WHEN (lang, src, tgt) IN (SELECT lang, src, tgt FROM dev) THEN 'excluded' END AS v0, src, tgt FROM keyed)
  SELECT ord, coalesce(v0, CASE WHEN row_number() OVER (PARTITION BY v0, src, tgt ORDER BY ord) = 1 THEN 'kept' ELSE 'duplicate' END) AS verdict FROM v""")
 def clean_forward(s, d):
-    p = pairs(s, d)
+    p = keyed_pairs(s, d)
     return dedup.clean_forward(p, p.where("doc_id < 50"), F.col("lang") != "fr", ["src", "tgt"], "ord", "lang")[0].select("ord", "verdict")
 
 
-@query(f"""WITH {_PAIRS}, hit AS (SELECT DISTINCT src, tgt FROM pairs WHERE doc_id < 50 AND lang <> 'fr'),
- v AS (SELECT ord, CASE WHEN lang IS NULL OR lang = 'fr' THEN 'passed' WHEN (src, tgt) IN (SELECT src, tgt FROM hit) THEN 'excluded' END AS v0, src, tgt FROM pairs)
+@query(f"""WITH {_KEYED}, hit AS (SELECT DISTINCT src, tgt FROM keyed WHERE doc_id < 50 AND lang <> 'fr'),
+ v AS (SELECT ord, CASE WHEN lang IS NULL OR lang = 'fr' THEN 'passed' WHEN (src, tgt) IN (SELECT src, tgt FROM hit) THEN 'excluded' END AS v0, src, tgt FROM keyed)
  SELECT ord, coalesce(v0, CASE WHEN row_number() OVER (PARTITION BY v0, src, tgt ORDER BY ord) = 1 THEN 'kept' ELSE 'duplicate' END) AS verdict FROM v""")
 def clean_reverse(s, d):
-    p, eligible = pairs(s, d), F.col("lang") != "fr"
+    p, eligible = keyed_pairs(s, d), F.col("lang") != "fr"
     hit = dedup.clean_forward(p, p.where("doc_id < 50"), eligible, ["src", "tgt"], "ord", "lang")[1]
     back = p.select("ord", "lang", F.col("tgt").alias("src"), F.col("src").alias("tgt"))
     return dedup.clean_reverse(back, hit, eligible, ["src", "tgt"], "ord").select("ord", "verdict")
@@ -190,33 +219,14 @@ def headed_tsv_pairs(s, d):
     return readers.headed_tsv_pairs(head.unionByName(body), "de")
 
 
-@query()
-def pair_verdict_histogram(s, d):
-    h = pairs(s, d).groupBy(X.pair_verdict(F.col("src"), F.col("tgt")).alias("verdict")).agg(F.count("*").alias("n"))
-    return h.crossJoin(h.agg(F.sum("n").alias("total"))).select("verdict", "n", F.round(100 * F.col("n") / F.col("total"), 4).alias("percent"))
-
-
 @query("SELECT lang, source, count(*) AS n, cast(sum(length(text)) AS BIGINT) AS chars, cast(sum(len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS words FROM documents GROUP BY ROLLUP (lang, source)")
 def corpus_report(s, d):
-    docs = read(s, d, "documents").select("lang", "source", F.length("text").alias("c"), X.n_words(F.col("text")).alias("w"))
-    return docs.rollup("lang", "source").agg(F.count("*").alias("n"), F.sum("c").alias("chars"), F.sum("w").alias("words"))
-
-
-@query("SELECT 'documents' AS name, count(*) AS actual, CASE WHEN abs(count(*) - 1000) <= 2 THEN 'OK' ELSE 'DIFF' END AS status FROM documents UNION ALL SELECT 'benchmark', count(*), CASE WHEN abs(count(*) - 40) <= 2 THEN 'OK' ELSE 'DIFF' END FROM benchmark")
-def line_count_audit(s, d):
-    parts = [read(s, d, n).agg(F.count("*").alias("actual")).select(F.lit(n).alias("name"), "actual", F.when(F.abs(F.col("actual") - want) <= 2, "OK").otherwise("DIFF").alias("status")) for n, want in (("documents", 1000), ("benchmark", 40))]
-    return parts[0].unionByName(parts[1])
+    return reports.sizes(read(s, d, "documents"), ["lang", "source"], X.n_words(F.col("text")), F.length("text"))
 
 
 _IDS = r"list_transform(regexp_extract_all(text, '\S+'), lambda w: ('0x' || substr(md5(w), 1, 7))::INTEGER)"
 
 
-@query(f"SELECT lang, cast(sum(len({_IDS})) AS BIGINT) AS tokens, round(100.0 * sum(len({_IDS})) / (SELECT sum(len({_IDS})) FROM documents), 4) AS percent FROM documents GROUP BY lang")
-def mix_percent(s, d):
-    t = read(s, d, "documents").groupBy("lang").agg(F.sum(F.size(packing.word_ids(F.col("text")))).alias("tokens"))
-    return t.crossJoin(t.agg(F.sum("tokens").alias("total"))).select("lang", "tokens", F.round(100.0 * F.col("tokens") / F.col("total"), 4).alias("percent"))
-
-
 @query(f"""WITH t AS (SELECT lang, doc_id, unnest({_IDS}) AS id, generate_subscripts({_IDS}, 1) AS i FROM documents),
  o AS (SELECT lang, id, row_number() OVER (PARTITION BY lang ORDER BY doc_id, i) - 1 AS p FROM t),
  q AS (SELECT lang, p // 512 AS seq_id, list(id ORDER BY p) AS ids FROM o GROUP BY ALL)
@@ -231,41 +241,6 @@ def epoch_replicate_shuffle(s, d):
     return sampling.epochs(read(s, d, "documents").select("doc_id"), 4, 3, "doc_id").select("doc_id", "epoch", F.col("_order").alias("place"))
 
 
-@query(r"SELECT conv_id, turn, regexp_replace(split_part(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10), 1), '^\s+|\s+$', '', 'g') AS line FROM conversations")
+@query(r"SELECT conv_id, turn, regexp_replace(split_part(text, chr(10), 1), '^\s+|\s+$', '', 'g') AS line FROM conversations")
 def first_line(s, d):
     return read(s, d, "conversations").select("conv_id", "turn", X.first_line(F.col("text")).alias("line"))
-
-
-@query()
-def chrf_score(s, d):
-    p = read(s, d, "benchmark").select("item_id", F.regexp_replace("text", "th", "t").alias("hyp"), "text")
-    sums = metrics.overlap(metrics.grams(p, "item_id", "hyp", "text"), "item_id").groupBy("kind", "n").agg(*[F.sum(c).alias(c) for c in ("hyp", "ref", "match")])
-    return metrics.chrf(sums)
-
-
-@query("""WITH s AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS idx, length(text) AS a, length(text) + item_id % 3 - 1 AS b FROM benchmark), n AS (SELECT count(*) AS n FROM s),
- d AS (SELECT rep, ('0x' || substr(md5('5,' || rep || ',' || i), 1, 8))::BIGINT % (SELECT n FROM n) AS idx FROM range(200) r(rep), (SELECT unnest(range(0, (SELECT n FROM n))) AS i))
- SELECT rep, round((sum(a) - sum(b)) / (SELECT n FROM n), 6) AS d FROM d JOIN s USING (idx) GROUP BY rep""")
-def paired_bootstrap(s, d):
-    rows = sampling.row_index(read(s, d, "benchmark"), [F.col("item_id")], "idx")
-    stats = rows.select("idx", F.length("text").alias("a"), (F.length("text") + F.col("item_id") % 3 - 1).alias("b"))
-    return metrics.bootstrap(stats, 200, 5, stats.count()).select("rep", F.round("d", 6).alias("d"))
-
-
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: cast(cast((x + x) / 2 AS FLOAT) AS DOUBLE))), 4) AS total FROM embeddings")
-def weight_average(s, d):
-    e = read(s, d, "embeddings").select("vec_id", F.col("embedding").alias("data"))
-    both = tensors.average(e, e, "vec_id")
-    return both.select("vec_id", F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
-
-
-@query("""WITH s AS (SELECT range AS step FROM range(1, 2392)), f AS (SELECT step, CASE WHEN step <= 256 THEN 1e-4::DOUBLE * step / 256 WHEN step <= 1623 THEN 1e-4::DOUBLE ELSE 1e-4::DOUBLE * (2391 - step) / 768 END AS lr FROM s)
- SELECT step, round(lr * 1000000, 6) AS lr, round(coalesce(lag(lr) OVER (ORDER BY step), 1e-4::DOUBLE) * 1000000, 6) AS lr_used FROM f""")
-def lr_schedule(s, d):
-    return tensors.schedule(s).select("step", *[F.round(F.col(c) * 1_000_000, 6).alias(c) for c in ("lr", "lr_used")])
-
-
-@query("SELECT conv_id, round(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) / nullif(cast(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS DOUBLE), 0), 0), 6) AS mean FROM conversations GROUP BY conv_id")
-def masked_mean(s, d):
-    mask = (F.col("role") == "assistant").cast("int")
-    return read(s, d, "conversations").groupBy("conv_id").agg(F.round(tensors.masked_mean(F.length("text"), mask), 6).alias("mean"))
