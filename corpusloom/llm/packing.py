@@ -4,7 +4,9 @@ Documents become ids of a public tokenizer plus an end id, and are cut at every
 last piece. Only the histogram of piece lengths (at most `size` numbers) comes to the driver. Lengths are placed
 longest first, each in the open patterns with the most room, and patterns carry counts, so the plan's cost does not
 depend on the number of documents. Pieces get a rank within their length - a row number within (length, salt) plus the
-counts of the salts before it - and the rank names the pattern's copy: the sequence and the offset there.
+counts of the salts before it - and the rank names the pattern's copy: the sequence and the offset there. A length has as
+many salts as it has shares of SHARE pieces, or of one in MOST_SHARES of all pieces if that is more, so neither a task's
+part nor what the driver counts grows out of bounds.
 
 Each distinct chunk between white space is tokenised once per batch. Chunks of ASCII and U+00C0-U+00FF without
 apostrophes take a byte-pair encoder that has the same merges (a zero byte marks the end of a word);
@@ -33,7 +35,9 @@ from corpusloom.llm.common import checkpointed, table, text_batches
 
 by_value(__name__)
 
-SIZE, END_ID, SALTS = 4096, 2, 64
+SIZE, END_ID = 4096, 2
+#: Pieces of one length that are ranked in one task, and most such shares in all (besides one a length).
+SHARE, MOST_SHARES = 256, 1 << 18
 SLICE = 6 << 20
 #: Chunks with one of these go to the tokenizer itself.
 SPECIAL = re.compile(r"[^\n!-~\u00c0-\u00ff]|'|<\|")
@@ -224,22 +228,29 @@ def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
 
 
 def packed(cut: DataFrame, size: int = SIZE) -> DataFrame:
-    """Pieces with sequence_id and offset. `cut` is used twice: give a written table."""
-    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.spark_partition_id()), F.lit(SALTS)).cast("int")
-    salted = cut.withColumn("_salt", salt)
-    counts = {(r[0], r[1]): r[2] for r in salted.groupBy("length", "_salt").count().collect()}  # at most size * SALTS numbers
-    histogram: dict[int, int] = defaultdict(int)
-    base = np.zeros((size + 1) * SALTS, np.int64)
-    for (length, s), n in sorted(counts.items()):
-        base[length * SALTS + s] = histogram[length]
-        histogram[length] += n
+    """Pieces with sequence_id and offset. `cut` is used several times: give a written table."""
+    histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most `size` numbers
+    share = max(SHARE, -(-sum(histogram.values()) // MOST_SHARES))
+    salts = np.ones(size + 2, np.int64)
+    for length, n in histogram.items():
+        salts[length] = -(-n // share)
+    first = np.cumsum(salts) - salts
+    many = cut.sparkSession.createDataFrame(pd.DataFrame({"length": np.arange(size + 1), "_salts": salts[:-1]}))
+    salted = cut.join(F.broadcast(many), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.spark_partition_id()), F.col("_salts")).cast("int")).drop("_salts")
+    counts = salted.groupBy("length", "_salt").count().collect()  # at most size + MOST_SHARES numbers
+    base, before = np.zeros(int(first[-1]) + 1, np.int64), defaultdict(int)
+    for length, s, n in sorted(tuple(r) for r in counts):
+        base[first[length] + s] = before[length]
+        before[length] += n
     places = slots(plan(histogram, size))
     starts = places[:, 0] << 44 | places[:, 1]
+    sent = cut.sparkSession.sparkContext.broadcast((first, base, places, starts))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, s: pd.Series, n: pd.Series) -> pd.DataFrame:
+        first, base, places, starts = sent.value
         length = length.to_numpy()
-        rank = base[length * SALTS + s.to_numpy()] + n.to_numpy() - 1
+        rank = base[first[length] + s.to_numpy()] + n.to_numpy() - 1
         slot = places[np.searchsorted(starts, length << 44 | rank, "right") - 1] if len(length) else np.zeros((0, 4), np.int64)
         return pd.DataFrame({"sequence_id": slot[:, 2] + rank - slot[:, 1], "offset": slot[:, 3]})
 
