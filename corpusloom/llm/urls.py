@@ -1,15 +1,18 @@
 """URL filters: host and path rules first, then logistic regression on hashed character n-grams.
 
-The model is trained on the driver from a small labelled URL table (its size is checked). Its features are the
+The model is trained on the driver from a small table of labelled public URLs (its size is checked). Its features are the
 3- to 5-grams of the bytes of `^host$` and of `^path$`, hashed with the field to 2^15 weights and divided by the
 root of their number.
 
 Defined results: a URL that is null or has no `://` has an empty host and path, fits no rule and is judged by the
-model. Rules are a short list of the driver; of those that fit, the longest wins, then the first in order of text.
+model. Of the rules that fit, the longest wins, then the first in order of text. A few rules are a chain of conditions; more
+of them are joined by each suffix of the host, with no bound on their number. Rows repeat as they came; an empty table stays empty.
 """
 
 from __future__ import annotations
 
+import io
+import pkgutil
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,33 +27,14 @@ by_value(__name__)
 
 DIMS = 1 << 15
 GRAMS = (3, 4, 5)
-#: Most rows of the labelled table, and most rules.
-MOST_LABELS, MOST_RULES = 100_000, 1_000
+#: Most rows of the labelled table, and most rules in a chain of conditions.
+MOST_LABELS, MOST_RULES = 100_000, 100
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
-_BAD = "spam farm ads track adult porn xxx casino poker bet pills viagra loan payday click bait malware phish warez torrent escort hack crack cheap winner prize lottery popup banner tracker affiliate sexy cam doorway linkfarm".split()
-_GOOD = "news wiki docs blog science history garden museum library school health recipes weather travel music books city council research journal archive forum sports nature language water energy open data maps".split()
-
-
-def labelled_urls(seed: int = 7) -> pd.DataFrame:
-    """(url, block): a small public-domain style table made by rule from the two word lists and pseudo-words."""
-    rng = np.random.default_rng(seed)
-    syllables = "th er on an re he in ed nd ha at en es of or nt ti st ou le is it ar te se tion ing ble ly ment".split()
-    word = lambda: "".join(rng.choice(syllables, rng.integers(2, 4)))
-    rows = []
-    for i in range(3000):
-        block = i % 2
-        if block:
-            a, b = rng.choice(_BAD), rng.choice([*_BAD, word()])
-            name = rng.choice([f"{a}-{b}", f"{a}{b}", f"{a}-x", a, f"{b}-{a}"])
-        else:
-            a, b = rng.choice(_GOOD), word()
-            name = rng.choice([f"{a}-{b}", b, b, b, f"{b}{word()}", a])
-        front = rng.choice(["", "", "www.", "blog.", "m."])
-        end = rng.choice(["example.com", "example.org", "example.net"])
-        path = f"/{rng.choice(['en', 'de', 'fr', 'es', word()])}/{rng.integers(1, 99999)}{rng.choice(['', '/', '.html'])}"
-        rows.append((f"http{rng.choice(['', 's'])}://{front}{name}.{end}{path}", block))
-    return pd.DataFrame(rows, columns=["url", "block"])
+def labelled_urls(path: str | None = None) -> pd.DataFrame:
+    """(url, block): the small table beside this module, or another of its form. It goes with the tasks only as weights."""
+    raw = pkgutil.get_data(__package__, "labelled_urls.csv").decode() if path is None else open(path, encoding="utf-8").read()
+    return pd.read_csv(io.StringIO(raw), comment="#", dtype={"url": str, "block": int})
 
 
 def grams(hosts: Sequence[str], paths: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +94,6 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """The longest rule that fits: one lookup chain, longest first."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules are more than {MOST_RULES}")
     found = F.lit(None).cast("string")
     for rule, _ in sorted(rules, key=lambda r: (-len(r[0]), r[0]), reverse=True):
         name, slash, rest = rule.partition("/")
@@ -120,6 +102,20 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
     return found
 
 
+def with_rules(split: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """split (host, path and others) with rule."""
+    if len(rules) <= MOST_RULES:
+        return split.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    named = split.sparkSession.createDataFrame([(r.partition("/")[0], "/" + r.partition("/")[2], r) for r, _ in rules], "_name string, _start string, _rule string")
+    # Each distinct (host, path) meets the rules of its host's suffixes: a host of d labels has d of them.
+    suffixes = F.expr("transform(sequence(1, size(split(host, '[.]', -1))), n -> substring_index(host, '.', -n))")
+    places = split.select("host", "path").distinct()
+    met = places.select("host", "path", F.explode(F.array_distinct(suffixes)).alias("_name")).join(named, "_name").where(F.startswith("path", "_start"))
+    # The longest first, then the first in order of text.
+    best = met.groupBy("host", "path").agg(F.min(F.struct((-F.length("_rule")).alias("n"), F.col("_rule").alias("rule"))).alias("b")).select("host", "path", "b.rule")
+    return split.join(best, ["host", "path"], "left")
+
+
 def judged(urls: DataFrame, weights: np.ndarray, rules: Sequence[tuple[str, str]] = RULES, url: str = "url", threshold: float = 0.5) -> DataFrame:
     """urls with host, path, rule, score (of the model, to block) and verdict. Columns of urls of these names are replaced."""
     kept = [c for c in urls.columns if c not in ("host", "path", "rule", "score", "verdict") or c == url]
@@ -134,10 +130,11 @@ def judged(urls: DataFrame, weights: np.ndarray, rules: Sequence[tuple[str, str]
             yield pd.Series(1 / (1 + np.exp(-z)))
 
     split = urls.select(*kept, host.alias("host"), path.alias("path"))
-    split = split.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("score", score("host", "path"))
-    verdicts = F.create_map(*[F.lit(x) for r in rules for x in r]) if rules else F.create_map(F.lit(""), F.lit(""))
+    split = with_rules(split, rules).withColumn("score", score("host", "path"))
+    blocking = [r for r, verdict in rules if verdict == "block"]
     own = F.when(F.col("score") > threshold, "block").otherwise("allow")
-    return split.withColumn("verdict", F.coalesce(F.try_element_at(verdicts, F.col("rule")), own))
+    ruled = F.when(F.col("rule").isin(*blocking), "block").otherwise("allow") if blocking else F.lit("allow")
+    return split.select(*kept, "host", "path", "rule", "score", F.when(F.col("rule").isNotNull(), ruled).otherwise(own).alias("verdict"))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
