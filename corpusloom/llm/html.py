@@ -5,9 +5,11 @@ path - tags and classes from the body down, digits generalised - is the page's v
 and each page is extracted again from the containers on its host's winning path; a page that has none uses its own best.
 
 Inside the container menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out, by tag, role, and words of class and id. A block's white space becomes single spaces; blocks are joined by one.
+left out, by tag, role, and names of class and id: a name counts if every word of it is one of furniture, so related-links
+goes and related-work stays. An article's own header, in the article, is part of it. Formulas, drawings' texts and what stands in
+for media stay. A block's white space becomes single spaces; blocks are joined by one.
 
-Defined results: null and empty pages give an empty text; pages without a host vote for none and use their own best; a
+Defined results: repeated rows are extracted each and an empty table gives no rows; null and empty pages give an empty text; pages without a host vote for none and use their own best; a
 page cut off in the middle keeps what came; ties go to the longer text, then to the path that sorts last.
 """
 
@@ -34,7 +36,7 @@ FEW_HOSTS = 50_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|textarea|iframe|title|math|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|iframe|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)",
     re.S | re.I,
@@ -44,21 +46,24 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input meta link".split())
 CONTAINERS = frozenset("article main section div td body".split())
-LEFT_OUT = frozenset("nav header footer aside form button menu dialog fieldset object audio video canvas option input head".split())
+LEFT_OUT = frozenset("nav header footer aside form button menu dialog fieldset option input head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-#: Words of class and id whose elements go, whatever they hold; and those that go unless they hold the article.
+#: Words of names of class and id whose elements go, whatever they hold; those that go unless they hold the article; and words that may stand beside them.
 ALWAYS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored comment comments disqus replies reply respond cookie cookies consent gdpr popup modal newsletter subscribe breadcrumb breadcrumbs".split())
 MAYBE = frozenset("banner promo sidebar menu nav navbar navigation header masthead footer notice notices alert signup share sharing social related recommended widget toolbar pagination pager copyright login search disclaimer".split())
+BESIDE = frozenset("area bar block body bottom box center column container content fixed global group head heading inline inner item items js left link links list main mobile nav outer overlay page panel post primary right row secondary section side site slot small sticky strip text title top unit user wrap wrapper".split())
 #: A start tag that ends an open paragraph, and the elements that end one of their own kind.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF = frozenset("li dt dd tr td th option".split())
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "children", "out", "holds", "words", "link")
+    __slots__ = ("tag", "name", "parent", "children", "out", "holds", "link", "article", "container")
 
     def __init__(self, tag: str, name: str, parent: Node | None, link: bool):
         self.tag, self.name, self.parent, self.link = tag, name, parent, link
+        self.container = None if parent is None else parent if parent.tag in CONTAINERS else parent.container  # the nearest one around it
+        self.article = tag == "article" or parent is not None and parent.article
         self.children: list = []  # nodes and strings
         self.out = 0  # 1 left out, 2 left out unless it holds the article
         self.holds = False
@@ -66,7 +71,13 @@ class Node:
 
 def parse(page: str) -> Node:
     root = at = Node("#", "", None, False)
-    last = 0
+    last, open_ = 0, defaultdict(int)  # how many elements of each tag are open
+
+    def closed(to: Node, below: Node) -> None:
+        while to is not below:
+            open_[to.tag] -= 1
+            to = to.parent
+
     for m in TOKEN.finditer(page):
         if m.start() > last:
             at.children.append(page[last : m.start()])
@@ -76,18 +87,22 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[2]:
-            node = at
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
+            if open_[tag]:  # an end tag without its start is no reason to walk up
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                closed(at, node.parent)
                 at = node.parent
             continue
         if tag in ENDS_P or tag in SELF:
             node = at
             ends = ("p",) if tag in ENDS_P else (tag,)
+            if not open_[ends[0]]:
+                node = None
             while node is not None and node.tag not in ends and (node.tag in INLINE or tag in SELF and node.tag == "p"):
                 node = node.parent
             if node is not None and node.tag in ends:
+                closed(at, node.parent)
                 at = node.parent
         at.children.append(node := opened(tag, m[4], at))
         if node.holds:
@@ -97,23 +112,32 @@ def parse(page: str) -> Node:
                 up = up.parent
         if tag not in VOID and not m[4].endswith("/"):
             at = node
+            open_[tag] += 1
     if last < len(page):
         at.children.append(page[last:])
     return root
 
 
+def furniture(name: str) -> int:
+    """Of a name of class or id: 1 if its element goes, 2 if it goes unless it holds the article, else 0."""
+    words = {w.lower() for w in WORD.findall(name)}
+    if not words or not words <= ALWAYS | MAYBE | BESIDE:
+        return 0
+    return 1 if words & ALWAYS else 2 if words & MAYBE else 0
+
+
 def opened(tag: str, attributes: str, parent: Node) -> Node:
-    name, out = tag, 1 if tag in LEFT_OUT else 0
+    name, out = tag, 1 if tag in LEFT_OUT and not (tag == "header" and parent.article) else 0
     if "=" in attributes or "hidden" in attributes:
         values = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(attributes)}
         kinds = re.sub(r"\d+", "#", values.get("class", "")).lower().split()
         name = ".".join([tag, *sorted(set(kinds))])
-        words = {w.lower() for w in WORD.findall(f"{values.get('class', '')} {values.get('id', '')}")}
-        if tag not in ("html", "body"):
-            if words & ALWAYS or "hidden" in values or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", values.get("style", "")):
+        if tag not in ("html", "body", "article", "main"):
+            found = {furniture(x) for x in f"{values.get('class', '')} {values.get('id', '')}".split()} - {0}
+            if 1 in found or "hidden" in values or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", values.get("style", "")):
                 out = 1
-            elif words & MAYBE or values.get("role", "").lower() in ROLES:
-                out = max(out, 2) if not out else out
+            elif (found or values.get("role", "").lower() in ROLES) and not out:
+                out = 2
     node = Node(tag, name, parent, tag == "a" or parent.link)
     node.out = out
     node.holds = tag in ("article", "main", "h1") and not out
@@ -168,25 +192,26 @@ def text_of(nodes: list[Node]) -> str:
     return " ".join(blocks)
 
 
-def containers(root: Node) -> list[tuple[float, int, str, Node]]:
-    """(score, characters, path, node) of the containers with text: each block counts for its container, and half for the one around it."""
+def containers(root: Node) -> list[tuple[float, int, Node]]:
+    """(score, characters, node) of the containers with text: each block counts for its container, and half for the one around it."""
     own: dict[int, list] = {}
     for _, text, at in visited(root):
         if text is None or not (size := len(text.strip())):
             continue
-        share, node = (-0.5 if at.link else 1.0), at
+        share, node = (-0.5 if at.link else 1.0), at if at.tag in CONTAINERS else at.container
         while node is not None and share:
-            if node.tag in CONTAINERS:
-                entry = own.setdefault(id(node), [0.0, 0, node])
-                entry[0] += share * size
-                entry[1] += size
-                share = share / 2 if abs(share) > 0.3 else 0
-            node = node.parent
-    return [(s * (3 if n.tag in ("article", "main") else 1), c, path_of(n), n) for s, c, n in own.values()]
+            entry = own.setdefault(id(node), [0.0, 0, node])
+            entry[0] += share * size
+            entry[1] += size
+            share = share / 2 if abs(share) > 0.3 else 0
+            node = node.container
+    return [(s * (3 if n.tag in ("article", "main") else 1), c, n) for s, c, n in own.values()]
 
 
 def best(root: Node) -> tuple[float, int, str, Node] | None:
-    return max(containers(root), key=lambda x: x[:3], default=None)
+    found = containers(root)
+    top = max((x[:2] for x in found), default=None)
+    return max(((s, c, path_of(n), n) for s, c, n in found if (s, c) == top), key=lambda x: x[2], default=None)
 
 
 def extract(page: str | None, path: str | None) -> str:
@@ -199,19 +224,13 @@ def extract(page: str | None, path: str | None) -> str:
         for node, text, at in visited(root):
             if text is None and node is not at and node.name == wanted[-1] and path_of(node) == path:
                 found.append(node)
-        outer = [n for n in found if not any(n is not o and within(n, o) for o in found)] if len(found) > 1 else found
-        if outer and (text := text_of(outer)):
+        # Elements of one path are equally deep, so none holds another.
+        if found and (text := text_of(found)):
             return text
     own = best(root)
     return text_of([own[3] if own else root])
 
 
-def within(node: Node, other: Node) -> bool:
-    while node is not None and node is not other:
-        node = node.parent
-    return node is other
-
-
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, path): each host's winning path."""
     text_batches(pages.sparkSession)
