@@ -2,7 +2,8 @@
 
 A layout is known by the hash of its sorted nested field paths, as `messages[].role`. Paths outside the known
 vocabulary are left out of the hash, so extra columns do no harm. A table's fingerprint comes from its schema, a
-JSON record's from its own keys, row by row; either selects a mapping that gives canonical turns (role, text).
+JSON record's from its own keys and those of all its elements, row by row; either selects a mapping that gives canonical
+turns (role, text). A table with one row a turn is a layout like the others: each row is a list of one turn, at its place.
 
 The template writes each turn as <|turn|>role<|text|>text<|end|>. A control string inside a role or a text gets one
 backslash after its first character (one more, if it has some): the text then holds no control string, and taking
@@ -36,6 +37,8 @@ class Mapping:
     name: str
     paths: tuple[str, ...]
     turns: str
+    #: The column that numbers a row's turns from; none if a row is a whole conversation.
+    first: str | None = None
 
     @property
     def fingerprint(self) -> str:
@@ -54,6 +57,7 @@ def _listed(name: str, role: str, text: str) -> str:
 
 _WITH_INPUT = "concat_ws('\\n\\n', instruction, nullif(input, ''))"
 _SYSTEM = "filter(array(named_struct('role', 'system', 'text', system)), m -> m.text <> '')"
+TURN_ROWS = Mapping("turn_rows", ("conv_id", "turn", "role", "text"), "array(named_struct('role', role, 'text', text))", "turn")
 MAPPINGS = (
     Mapping("messages", ("messages[].role", "messages[].content"), _listed("messages", "role", "content")),
     Mapping("sharegpt", ("conversations[].from", "conversations[].value"), _listed("conversations", "from", "value")),
@@ -66,7 +70,6 @@ MAPPINGS = (
     Mapping("inputs_targets", ("inputs", "targets"), _pairs(("user", "inputs"), ("assistant", "targets"))),
     Mapping("question_answer", ("question", "answer"), _pairs(("user", "question"), ("assistant", "answer"))),
 )
-TURN_ROWS = ("conv_id", "turn", "role", "text")
 _LISTS = ("messages", "conversations")
 _KNOWN = frozenset(p for m in MAPPINGS for p in m.paths)
 _RECORD = "messages array<struct<role:string,content:string>>, conversations array<struct<`from`:string,value:string,role:string,content:string>>, system string, prompt string, response string, completion string, instruction string, input string, output string, inputs string, targets string, question string, answer string"
@@ -85,13 +88,12 @@ def field_paths(schema: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def mapping_of(schema: T.StructType) -> Mapping | None:
-    """The mapping for a table's schema. None for turn rows; an unknown layout raises ValueError."""
+def mapping_of(schema: T.StructType) -> Mapping:
+    """The mapping that the fingerprint of a table's schema selects; an unknown layout raises ValueError."""
     paths = set(field_paths(schema))
-    if fingerprint(paths & set(TURN_ROWS)) == fingerprint(TURN_ROWS):
-        return None
-    own = fingerprint(paths & _KNOWN)
-    found = [m for m in MAPPINGS if m.fingerprint == own]
+    # conv_id and turn number rows in any layout, so they only tell turn rows.
+    by = {fingerprint(paths & set(TURN_ROWS.paths)): [TURN_ROWS], fingerprint(paths & _KNOWN): MAPPINGS}
+    found = [m for own, some in by.items() for m in some if m.fingerprint == own]
     if not found:
         raise ValueError(f"no mapping for the fields {sorted(paths)}")
     return found[0]
@@ -100,16 +102,17 @@ def mapping_of(schema: T.StructType) -> Mapping | None:
 def turn_rows(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     """Canonical rows (conv_id, turn, role, text) of a table of any known layout."""
     mapping = mapping_of(df.schema)
-    if mapping is None:
-        return df.select(*TURN_ROWS)
-    named = df.select(F.col(conv_id).alias("conv_id"), F.posexplode(F.expr(mapping.turns)).alias("turn", "m"))
-    return named.select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.text")
+    at = F.col(mapping.first) if mapping.first else F.lit(0)
+    named = df.select(F.col(conv_id).alias("conv_id"), at.cast("long").alias("_first"), F.posexplode(F.expr(mapping.turns)).alias("_pos", "m"))
+    return named.select("conv_id", (F.col("_first") + F.col("_pos")).alias("turn"), "m.role", "m.text")
 
 
 def record_layout(json: str = "json") -> Column:
     """The name of the layout of each JSON record, by its own fingerprint; null if unknown."""
     top = F.expr(f"coalesce(json_object_keys({json}), cast(array() as array<string>))")
-    nested = [F.expr(f"transform(coalesce(json_object_keys(get_json_object({json}, '$.{x}[0]')), cast(array() as array<string>)), k -> concat('{x}[].', k))") for x in _LISTS]
+    # Elements may have different keys; a field's path is there if any element has it.
+    each = "coalesce(flatten(transform(from_json({json}, '{x} array<string>').{x}, e -> coalesce(json_object_keys(e), cast(array() as array<string>)))), cast(array() as array<string>))"
+    nested = [F.expr(f"transform({each.format(json=json, x=x)}, k -> concat('{x}[].', k))") for x in _LISTS]
     paths = F.array_intersect(F.concat(top, *nested), F.array(*map(F.lit, sorted(_KNOWN))))
     own = F.sha2(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"), 256)
     names = F.create_map(*[F.lit(x) for m in MAPPINGS for x in (m.fingerprint, m.name)])
