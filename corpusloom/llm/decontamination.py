@@ -7,7 +7,8 @@ all windows are searched backwards together by its ranks. Occurrences are locate
 positions; their spans are merged. Words are compared by two 64-bit hashes.
 
 A window is `width` consecutive words of an item; an item of fewer words, but not none, is one window. The benchmark is
-a test set of bounded size (MOST_BYTES is checked), sent to the tasks once.
+a test set; it is sent to the tasks in packets of about PACKET bytes, all of which each shard is searched for, so a large one
+costs time and no answer.
 
 Defined results: null and wordless texts have no words, null items no windows; items that share an id count once;
 repeated documents are scanned each. An empty benchmark hits nothing.
@@ -32,7 +33,7 @@ by_value(__name__)
 WIDTH, LEAST_ITEMS = 8, 2
 SLICE = 6 << 20
 SAMPLE = 16
-MOST_BYTES = 64 << 20
+PACKET = 64 << 20
 
 
 class FMIndex:
@@ -128,7 +129,7 @@ class Windows:
         self.ids = sorted(set(ids), key=lambda i: (i is None, str(i)))
         number = {v: i for i, v in enumerate(self.ids)}
         buf, starts, ends, words, item = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), 0
-        for first, raw, offsets in slices(pa.array(texts, pa.large_string()), MOST_BYTES):
+        for first, raw, offsets in slices(pa.array(texts, pa.large_string()), 1 << 62):
             assert not first
             buf = classes(raw, LOWER)
             starts, ends, words = boundaries(buf, offsets, ALNUM)
@@ -204,6 +205,27 @@ def scan_slice(buf: np.ndarray, offsets: np.ndarray, windows: Windows) -> tuple[
     return starts, ends, words, hit, pairs // max(1, len(windows.ids)), pairs % max(1, len(windows.ids))
 
 
+def searched(buf: np.ndarray, offsets: np.ndarray, packets_: list[Windows]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """scan_slice over all packets: a word is hit if any packet hits it; items are told by their ids as text, each once a document."""
+    every = [scan_slice(buf, offsets, w) for w in packets_]
+    starts, ends, words = every[0][:3]
+    pairs = sorted({(d, str(w.ids[i])) for w, (*_, doc, item) in zip(packets_, every, strict=True) for d, i in zip(doc.tolist(), item.tolist(), strict=True)})
+    return starts, ends, words, np.logical_or.reduce([e[3] for e in every]), np.array([d for d, _ in pairs], np.int64), np.array([i for _, i in pairs], object)
+
+
+def packets(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
+    """(item ids, texts) of the items, about PACKET bytes at a time; one packet at least."""
+    ids, texts, size = [], [], 0
+    for r in benchmark.select("item_id", "text").toLocalIterator():
+        ids.append(r.item_id)
+        texts.append(r.text)
+        size += len(r.text or "")
+        if size >= PACKET:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    yield ids, texts
+
+
 def merged_spans(buf: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray, hit: np.ndarray) -> list[dict[str, int]]:
     """Spans of code points, from the first to the last word of each stretch of hit words."""
     edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
@@ -218,26 +240,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, t
     Columns of docs of these names are replaced."""
     own = [("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean")] + [("spans", T.ArrayType(T.StructType().add("begin", "integer").add("end", "integer")))] * spans
     kept = [c for c in (docs.columns if keep is None else keep) if c not in dict(own) and c != "_text"]
-    sizes = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if sizes > MOST_BYTES:
-        raise ValueError(f"the benchmark has {sizes} bytes, more than {MOST_BYTES}")
-    rows = benchmark.select("item_id", "text").collect()
     text_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(Windows([r.item_id for r in rows], [r.text for r in rows], width))
+    sent = [docs.sparkSession.sparkContext.broadcast(Windows(*p, width)) for p in packets(benchmark)]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = sent.value
         for batch in batches:
             for first, buf, offsets in slices(column_of(batch, "_text"), SLICE):
-                starts, ends, words, hit, doc, item = scan_slice(buf, offsets, windows)
+                starts, ends, words, hit, doc, item = searched(buf, offsets, [s.value for s in sent])
                 hits = np.diff(np.concatenate([[0], np.cumsum(hit)])[words])
                 n_items = np.bincount(doc, minlength=len(hits))
                 digest, cuts = [hashlib.sha256(b"").hexdigest()] * len(hits), [[] for _ in hits] if spans else []
                 found = np.cumsum(n_items)
                 for i in np.flatnonzero(n_items):
                     ids = item[found[i] - n_items[i] : found[i]]
-                    digest[i] = hashlib.sha256(",".join(sorted(str(windows.ids[j]) for j in ids)).encode()).hexdigest()
+                    digest[i] = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
                     if spans:
                         w = slice(words[i], words[i + 1])
                         cuts[i] = merged_spans(buf[offsets[i] : offsets[i + 1]], offsets[i], starts[w], ends[w], hit[w])
