@@ -6,7 +6,8 @@ text's log-probability is the sum over its words, each preceded by the vocabular
 come from expected counts (forward-backward over all segmentations) in rounds of expectation maximisation over a bounded
 sample of labelled texts; a round's counts are summed by Spark and only (language, piece) totals reach the driver.
 
-Words are runs of letters in lower case; a task scores each distinct word once, so a text costs one lookup a word.
+Words are runs of letters in lower case, by Unicode; a run of over LONGEST letters, as in a script without spaces, counts as words of
+LONGEST letters and a rest. A task scores each distinct word once, so a text costs one lookup a word.
 
 Defined results: a text that is null or has no letter is `und` with score 0; without any labelled text every text is
 `und`; ties go to the language that sorts first. A score is the probability of the language given the text, all
@@ -15,6 +16,7 @@ languages alike before.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,9 @@ MOST_LANGUAGES = 1_000
 #: Probability of a character that is no piece, in every language.
 UNKNOWN = 1e-7
 SHORT = 40
+#: Letters of a word; longer runs are cut. No letter is left out.
+LONGEST = 64
+LETTERS = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -177,6 +182,12 @@ def spelled(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str
     return [raw[s:e].decode("utf-8").lower() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def parts(runs: list[str]) -> tuple[list[str], np.ndarray]:
+    """The words of runs of letters and bytes outside ASCII, and the number of each word's run: those bytes may be marks that part words."""
+    found = [[r] if len(r) <= LONGEST and r.isalpha() else LETTERS.findall(r) for r in runs]
+    return [w for f in found for w in f], np.repeat(np.arange(len(runs)), [len(f) for f in found])
+
+
 class Scored:
     """The words scored so far, by hash: log-probabilities, and whether there is a letter. Emptied when there are too many."""
 
@@ -194,10 +205,13 @@ class Scored:
         at = np.minimum(np.searchsorted(self.hash, h), max(0, len(self.hash) - 1))
         new = self.hash[at] != h if len(self.hash) else np.ones(len(h), bool)
         if new.any():
-            words = spelled(lower, starts[new], ends[new])
-            self.slot = np.concatenate([self.slot, np.arange(len(words), dtype=np.int32) + len(self.logs)])
-            self.logs = np.concatenate([self.logs, log_probability(self.pieces, words, self.probability)])
-            self.lettered = np.concatenate([self.lettered, [w.isalpha() or any(map(str.isalpha, w)) for w in words]])
+            runs = spelled(lower, starts[new], ends[new])
+            words, run = parts(runs)
+            each = log_probability(self.pieces, words, self.probability)
+            logs = np.stack([np.bincount(run, each[:, k], len(runs)) for k in range(each.shape[1])], axis=1)
+            self.slot = np.concatenate([self.slot, np.arange(len(runs), dtype=np.int32) + len(self.logs)])
+            self.logs = np.concatenate([self.logs, logs])
+            self.lettered = np.concatenate([self.lettered, np.bincount(run, minlength=len(runs)) > 0])
             every = np.concatenate([self.hash, h[new]])
             order = np.argsort(every)
             self.hash, self.slot = every[order], self.slot[order]
@@ -261,8 +275,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
                     chosen = column_of(batch, "text").filter(pa.array(lang == name))
                     for _, buf, offsets in slices(chosen, SLICE):
                         lower, _, starts, ends, inverse, _ = words_of(buf, offsets)
-                        words = spelled(lower, starts, ends)
-                        sums[:, k] += expected(own, words, np.bincount(inverse, minlength=len(words)).astype(float), p[:, k])
+                        words, run = parts(spelled(lower, starts, ends))
+                        sums[:, k] += expected(own, words, np.bincount(inverse, minlength=len(starts)).astype(float)[run], p[:, k])
             piece, k = np.nonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(k, pa.int64()), pa.array(sums[piece, k])], ["piece", "k", "n"])
 
