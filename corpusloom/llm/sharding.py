@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import checkpointed, table
 
 BITS = 60
-#: Bytes of text in a shard, as written by the query.
-LIMIT = 64 << 20
+#: Bytes of text in a shard, as written by the query: what a loader shuffles in memory many times over.
+LIMIT = 1 << 20
 
 
 def hash_bits(key: Column) -> Column:
