@@ -1,9 +1,13 @@
 """Each operator against a brute-force version, on edge rows: nulls, empty texts, ties, repeats, empty tables."""
 
 import hashlib
+import json
+import math
 import random
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -18,7 +22,9 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def test_op1_against_windows(spark):
+@pytest.mark.parametrize("packet", [1 << 26, 40, 1])
+def test_op1_against_windows(spark, monkeypatch, packet):
+    monkeypatch.setattr(decontamination, "PACKET", packet)
     rng = random.Random(1)
     some = lambda n: " ".join(rng.choice("ab cd éf gh".split()) for _ in range(n))
     items = [(i, some(rng.choice([0, 3, 9, 20]))) for i in range(12)] + [(12, None), (3, some(10))]
@@ -41,6 +47,14 @@ def test_op1_against_windows(spark):
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in found) == sorted(want)
 
 
+def test_op1_no_rows_and_long_texts(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g h"), (2, "h g f e d c b a")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c d e f g h " * 60_000), (None, "x a b c d e f g h"), (3, "a b c d e f g")], DOCS)
+    out = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontamination.scan(docs, items).collect()}
+    assert out == {1: (480_000, 480_000, 1), None: (9, 8, 1), 3: (7, 0, 0)}
+    assert decontamination.scan(docs.limit(0), items).count() == 0 and {r.n_hit for r in decontamination.scan(docs, items.limit(0)).collect()} == {0}
+
+
 def test_op2_sums_all_segmentations():
     pieces = ["▁", "▁a", "a", "ab", "b", "▁ab"]
     p = np.array([[0.1], [0.2], [0.3], [0.1], [0.2], [0.1], [1e-7]])
@@ -49,9 +63,41 @@ def test_op2_sums_all_segmentations():
     def total(s):
         return 1.0 if not s else sum(of.get(s[:i], 1e-7 if i == 1 else 0) * total(s[i:]) for i in range(1, len(s) + 1))
 
-    for word in ("ab", "abba", "xa", "a" * 60):
-        if len(word) < 20:
-            assert np.isclose(langid.log_probability(langid.Pieces(pieces), [word], p)[0, 0], np.log(total("▁" + word)))
+    def by_hand(s):
+        """The same sum from the left, in logarithms of exact fractions."""
+        sums = [Fraction(1)]
+        for i in range(1, len(s) + 1):
+            sums.append(sum(sums[j] * Fraction(of.get(s[j:i], 1e-7 if i - j == 1 else 0)) for j in range(max(0, i - 3), i)))
+        return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+    for word in ("ab", "abba", "xa", "a" * 39, "a" * 40, "ab" * 30, "x" * 300):
+        got = langid.log_probability(langid.Pieces(pieces), [word, "ab"], p)[0, 0]
+        assert np.isclose(got, by_hand("▁" + word)) and (len(word) > 20 or np.isclose(got, np.log(total("▁" + word))))
+
+
+def test_op2_parts_of_runs():
+    assert langid.parts(["abc", "今日は、天気。", "x" * 130, "——", "naïve"]) == (["abc", "今日は", "天気", "x" * 64, "x" * 64, "xx", "naïve"], pytest.approx([0, 1, 1, 2, 2, 2, 4]))
+
+
+def test_op2_query_on_held_out_documents(spark):
+    """The registered query: held out by the rule, learns from the others alone, and knows nearly all of what it hasn't seen."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = langid.op2_language_id(spark, sf).collect()
+    assert {r.doc_id for r in out} == set(docs) and len(out) == len(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in out)
+    held = [r for r in out if r.held_out and docs[r.doc_id].lang]
+    assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.98 * len(held) > 200
+
+
+def test_op2_odd_texts(spark):
+    rows = [(i, "the cat and the dog went out", "en") for i in range(20)] + [(100 + i, "der hund und die katze gehen aus", "de") for i in range(20)]
+    rows += [(200, "今日はとても天気がいい。" * 2000, None), (201, "", "en"), (202, None, None), (203, "！？…", "de"), (204, "dog " * 100_000, None), (204, "dog " * 100_000, None), (None, "die katze", None)]
+    df = spark.createDataFrame(rows, DOCS + ", lang string").withColumn("score", F.lit("x"))
+    out = langid.identified(df.repartition(3), langid.train(df), ["doc_id"]).collect()
+    said = {r.doc_id: r.lang_pred for r in out}
+    assert len(out) == len(rows) and said[204] == "en" and said[None] == "de" and {said[i] for i in (201, 202, 203)} == {"und"} and said[200] in ("de", "en")
+    assert langid.identified(df.limit(0), langid.train(df)).count() == 0
 
 
 def test_op2_null_and_letterless(spark):
@@ -76,6 +122,40 @@ def test_op3_fingerprints_choose_mappings(spark):
     assert all(r.turns is None if r.layout is None else [tuple(t) for t in r.turns] == [("user", "a"), ("assistant", "b")] for r in out)
 
 
+def test_op3_every_layout_by_its_fingerprint(spark):
+    """A record of each layout through its own fingerprint, and a table of it through its schema's, to the same turns."""
+    turns = [("user", "a"), ("assistant", "b")]
+    fields = {"messages": {"messages": [{"role": r, "content": t} for r, t in turns]}, "sharegpt": {"conversations": [{"from": {"user": "human", "assistant": "gpt"}[r], "value": t} for r, t in turns]}}
+    fields |= {"sharegpt_system": fields["sharegpt"] | {"system": ""}, "conversation_roles": {"conversations": [{"role": r, "content": t} for r, t in turns]}}
+    fields |= {m.name: dict(zip(m.paths, ("a", "b") if len(m.paths) == 2 else ("a", "", "b"), strict=True)) for m in chat.MAPPINGS if m.name not in fields}
+    assert set(fields) == {m.name for m in chat.MAPPINGS} and len({m.fingerprint for m in (*chat.MAPPINGS, chat.TURN_ROWS)}) == 11
+    out = {r.name: r for r in chat.record_turns(spark.createDataFrame([(n, json.dumps(f)) for n, f in fields.items()], "name string, json string")).collect()}
+    for name, f in fields.items():
+        assert out[name].layout == name and [tuple(t) for t in out[name].turns] == turns
+        rows = spark.read.json(spark.sparkContext.parallelize([json.dumps(f | {"conv_id": 7, "extra": 1})]))
+        assert chat.mapping_of(rows.schema).name == name and sorted(tuple(r) for r in chat.turn_rows(rows).collect()) == [(7, 0, *turns[0]), (7, 1, *turns[1])]
+    table = spark.createDataFrame([(1, 5, "user", "a", "x")], "conv_id long, turn long, role string, text string, system string")
+    assert chat.mapping_of(table.schema) is chat.TURN_ROWS and [tuple(r) for r in chat.turn_rows(table).collect()] == [(1, 5, "user", "a")]
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.turn_rows(spark.range(1))
+
+
+def test_op3_keys_of_all_elements(spark):
+    records = ['{"messages":[{"role":"system"},{"role":"user","content":"a"},{"content":"b"}]}', '{"messages":[]}', '{"messages":"x"}', '{"messages":[1,null]}', "[1]", "not json"]
+    out = chat.record_turns(spark.createDataFrame([(j,) for j in records], "json string")).collect()
+    assert out[0].layout == "messages" and [tuple(t) for t in out[0].turns] == [("system", None), ("user", "a"), (None, "b")]
+    assert [r.layout for r in out[1:]] == [None] * 5
+
+
+def test_op3_ties_repeats_and_no_rows(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", None), (1, None, "user", "z"), (None, 1, None, "x"), (None, 1, None, "x"), (2, 1, "assistant", "long " * 100_000)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, formatted int")
+    out = {r.conv_id: r for r in chat.formatted(chat.turn_rows(df)).withColumn("t", chat.read_back()).withColumn("loss", chat.under_mask()).collect()}
+    assert [tuple(t) for t in out[1].t] == [("user", "z"), ("assistant", ""), ("user", "a"), ("user", "b")] and out[1].loss == ""
+    assert [tuple(t) for t in out[None].t] == [("", "x")] * 2 and out[2].loss == "long " * 100_000
+    assert chat.formatted(chat.turn_rows(df.limit(0))).count() == 0
+
+
 def test_op4_components(spark):
     base = [f"w{i}" for i in range(60)]
     changed = base[:30] + ["x"] + base[31:]
@@ -182,6 +262,25 @@ def test_op9_exact_with_ties(spark):
     assert {r.query_id for r in out} == {0, 100, 200, 300}
 
 
+@pytest.mark.parametrize("limit", [20_000, 200_000, 10**9])
+def test_op10_against_sql(spark, limit):
+    """Depths are the least that fit: the SQL looks at every prefix of every row."""
+    import duckdb
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    out = sharding.assign(spark.read.parquet(path).withColumn("depth", F.lit("x")), limit).select("doc_id", "n_bytes", "depth", "shard").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    want = con.execute(sharding.SQL.replace(str(sharding.LIMIT), str(limit))).fetchall()
+    names = [c[0] for c in con.description]
+    assert Counter((r.doc_id, r.n_bytes, r.depth, r.shard) for r in out) == Counter(tuple(w[names.index(c)] for c in ("doc_id", "n_bytes", "depth", "shard")) for w in want)
+    assert (len({r.shard for r in out}) > 1) == (limit < 10**8)
+
+
+def test_op10_no_rows(spark):
+    assert sharding.assign(spark.createDataFrame([], DOCS)).count() == 0
+
+
 @pytest.mark.parametrize("limit", [50, 1000])
 def test_op10_shards_fit(spark, limit):
     rows = [(i, "x" * (i % 40)) for i in range(300)] + [(7, "same")] * 60 + [(None, None)]
