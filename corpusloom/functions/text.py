@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
 def nfkc(c: Column) -> Column:
-    """Unicode form NFKC, which Spark lacks: the one Arrow function here."""
+    """Unicode form NFKC, which Spark lacks: the one Arrow function here. ASCII is in that form and isn't sent."""
 
     @F.pandas_udf("string")
     def form(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+        return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 
-    return form(c)
+    return F.coalesce(form(F.when(~is_ascii(c), c)), c)
 
 
 def strip(c: Column) -> Column:
@@ -27,9 +31,8 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """Single spaces. Characters are mapped first; a regular expression runs only where spaces still stand together."""
-    even = F.translate(c, SPACES, " " * len(SPACES))
-    return F.when(F.contains(even, F.lit("  ")), F.regexp_replace(even, " {2,}", " ")).otherwise(even)
+    """Single spaces. No condition names the text twice: Spark would compute it twice."""
+    return F.regexp_replace(F.translate(c, SPACES, " " * len(SPACES)), " {2,}", " ")
 
 
 def pair_key(c: Column, unicode: bool = True) -> Column:
@@ -43,17 +46,19 @@ PUNCTUATION = {
     "０": "0", "１": "1", "２": "2", "３": "3", "４": "4", "５": "5", "６": "6", "７": "7", "８": "8", "９": "9",
     "～": "~", "’": "'", "━": "-", "〈": "<", "〉": ">", "【": "[", "】": "]", "％": "%",
 }
-#: Those that become several characters, and take the white space after them along.
-SENTENCE_ENDS = {"。": ". ", "．": ". "}
+#: Those that become a full stop and a space, and take the white space after them along.
+SENTENCE_ENDS = "。．"
 
 
 def dedup_key(c: Column, unicode: bool = True) -> Column:
     """Characters that don't print out, typographic punctuation to ASCII, NFKC, strip, single spaces, lower."""
-    c = F.regexp_replace(c, r"\p{C}", "")
-    c = F.replace(F.translate(c, "".join(PUNCTUATION), "".join(PUNCTUATION.values())), F.lit("…"), F.lit("..."))
-    for a, b in SENTENCE_ENDS.items():
-        c = F.when(F.contains(c, F.lit(a)), F.regexp_replace(c, rf"{a}[{SPACES}]*", b)).otherwise(c)
-    return F.lower(collapse(strip(nfkc(c) if unicode else c)))
+    wide = F.regexp_replace(c, r"\p{C}", "")
+    wide = F.replace(F.translate(wide, "".join(PUNCTUATION), "".join(PUNCTUATION.values())), F.lit("…"), F.lit("..."))
+    wide = F.regexp_replace(wide, f"[{SENTENCE_ENDS}][{SPACES}]*", ". ")
+    wide = collapse(strip(nfkc(wide) if unicode else wide))
+    # Plain text has none of all that but control characters and spaces that stand together.
+    plain = F.trim(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1f\x7f]", ""), " {2,}", " "))
+    return F.lower(F.when(is_ascii(c), plain).otherwise(wide))
 
 
 def regex_clean(c: Column) -> Column:

@@ -40,21 +40,21 @@ def verdicts(df: DataFrame, key: list[str], order: str, excluded: DataFrame | No
 
 def verdict_counts(df: DataFrame, key: list[str], order: str, by: list[str], excluded: DataFrame | None = None, blank: Column | None = None) -> DataFrame:
     """How many rows of each verdict, by further columns: the counts of `verdicts` from one aggregate a key, without a join back."""
-    rows = df.withColumn("_blank", F.coalesce(blank, F.lit(True)) if blank is not None else F.lit(False))
-    filled = rows.where("NOT _blank").select(*key, *by, F.col(order).alias("_o"), F.lit(False).alias("_out"))
+    is_blank = F.coalesce(blank, F.lit(True)) if blank is not None else F.lit(False)
+    rows = df.select(*key, *by, F.col(order).alias("_o"), F.lit(False).alias("_out"), is_blank.alias("_blank"))
     if excluded is not None:
         none = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in by]
-        filled = filled.unionByName(excluded.select(*key, *none, F.lit(None).cast(df.schema[order].dataType).alias("_o"), F.lit(True).alias("_out")).distinct())
+        rows = rows.unionByName(excluded.select(*key, *none, F.lit(None).cast(df.schema[order].dataType).alias("_o"), F.lit(True).alias("_out"), F.lit(False).alias("_blank")))
     # A key's rows are counted by `by` first, so a common key is a few rows.
-    few = filled.groupBy(*key, *by).agg(F.count("_o").alias("_n"), F.min("_o").alias("_o"), F.max("_out").alias("_out"))
+    few = rows.groupBy(*key, "_blank", *by).agg(F.count("_o").alias("_n"), F.min("_o").alias("_o"), F.max("_out").alias("_out"))
     item = F.struct("_o", *by, "_n")
-    keyed = few.groupBy(*key).agg(F.max("_out").alias("_out"), F.collect_list(F.when(F.col("_n") > 0, item)).alias("_l"))
-    each = keyed.select("_out", F.array_min("_l").alias("_first"), F.explode("_l").alias("_x"))
-    kept = F.when(F.col("_out"), 0).when(F.col("_x._o") == F.col("_first._o"), 1).otherwise(0)
-    counts = F.map_from_arrays(F.array(F.lit("excluded"), F.lit("kept"), F.lit("duplicate")), F.array(F.when(F.col("_out"), F.col("_x._n")).otherwise(0), kept.cast("long"), F.when(F.col("_out"), 0).otherwise(F.col("_x._n") - kept)))
-    split = each.select(*[F.col(f"_x.{c}").alias(c) for c in by], F.explode(counts).alias("verdict", "_n")).where("_n > 0")
-    empty = rows.where("_blank").select(*by, F.lit("empty").alias("verdict"), F.lit(1).cast("long").alias("_n"))
-    return split.unionByName(empty).groupBy(*by, "verdict").agg(F.sum("_n").alias("n"))
+    keyed = few.groupBy(*key, "_blank").agg(F.max("_out").alias("_out"), F.collect_list(F.when(F.col("_n") > 0, item)).alias("_l"))
+    each = keyed.select("_blank", "_out", F.array_min("_l").alias("_first"), F.explode("_l").alias("_x"))
+    n, kept = F.col("_x._n"), F.when(F.col("_x._o") == F.col("_first._o"), 1).otherwise(0).cast("long")
+    one = lambda verdict, many: F.struct(F.lit(verdict).alias("verdict"), many.alias("_n"))
+    parts = F.when(F.col("_blank"), F.array(one("empty", n))).when(F.col("_out"), F.array(one("excluded", n))).otherwise(F.array(one("kept", kept), one("duplicate", n - kept)))
+    split = each.select(*[F.col(f"_x.{c}").alias(c) for c in by], F.explode(parts).alias("_p")).where("_p._n > 0")
+    return split.groupBy(*by, "_p.verdict").agg(F.sum("_p._n").alias("n"))
 
 
 def exclude_pairs(pairs: DataFrame, dev: DataFrame, src: str = "src", tgt: str = "tgt", mirrored: bool = True, lines: bool = False) -> DataFrame:
