@@ -16,7 +16,7 @@ def _ids(text: str) -> str:
     return rf"list_transform(regexp_extract_all({text}, '\S+'), lambda w: ('0x' || substr(md5(w), 1, 7))::INTEGER)"
 
 
-def _tokens(s, d, size=None):
+def _tokens(s, d):
     return packing.tokenized(read(s, d, "documents").select("doc_id", "lang", "text"), "text")
 
 
