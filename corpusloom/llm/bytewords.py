@@ -20,6 +20,13 @@ def by_value(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
+def restored(kind: type, state: dict):
+    """The object of a state, vars(object). A broadcast names classes by their module, so what is sent is the state, of arrays and lists."""
+    out = object.__new__(kind)
+    vars(out).update(state)
+    return out
+
+
 by_value(__name__)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.bytewords import ALNUM, LOWER, boundaries, by_value, classes, column_of, hashes, ragged, slices
+from corpusloom.llm.bytewords import ALNUM, LOWER, boundaries, by_value, classes, column_of, hashes, ragged, restored, slices
 from corpusloom.llm.common import table, text_batches
 
 by_value(__name__)
@@ -241,13 +241,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, t
     own = [("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean")] + [("spans", T.ArrayType(T.StructType().add("begin", "integer").add("end", "integer")))] * spans
     kept = [c for c in (docs.columns if keep is None else keep) if c not in dict(own) and c != "_text"]
     text_batches(docs.sparkSession)
-    sent = [docs.sparkSession.sparkContext.broadcast(Windows(*p, width)) for p in packets(benchmark)]
+    sent = [docs.sparkSession.sparkContext.broadcast(vars(Windows(*p, width))) for p in packets(benchmark)]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = [restored(Windows, s.value) for s in sent]
         for batch in batches:
             for first, buf, offsets in slices(column_of(batch, "_text"), SLICE):
-                starts, ends, words, hit, doc, item = searched(buf, offsets, [s.value for s in sent])
+                starts, ends, words, hit, doc, item = searched(buf, offsets, windows)
                 hits = np.diff(np.concatenate([[0], np.cumsum(hit)])[words])
                 n_items = np.bincount(doc, minlength=len(hits))
                 digest, cuts = [hashlib.sha256(b"").hexdigest()] * len(hits), [[] for _ in hits] if spans else []

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.bytewords import ALPHA, LOWER, boundaries, by_value, classes, column_of, first_use, hashes, slices
+from corpusloom.llm.bytewords import ALPHA, LOWER, boundaries, by_value, classes, column_of, first_use, hashes, restored, slices
 from corpusloom.llm.common import checkpointed, table, text_batches
 
 by_value(__name__)
@@ -221,8 +221,8 @@ class Scored:
 
 
 class Model:
-    def __init__(self, languages: list[str], pieces: list[str], probability: np.ndarray):
-        self.languages, self.pieces, self.probability = languages, Pieces(pieces), probability
+    def __init__(self, languages: list[str], pieces: Pieces, probability: np.ndarray):
+        self.languages, self.pieces, self.probability = languages, pieces, probability
 
     def scored(self) -> Scored:
         return Scored(self.pieces, self.probability)
@@ -259,15 +259,15 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(11), key), 11) / F.lit(float(1 << 53))
     text_batches(labelled.sparkSession)
     sample = checkpointed(rows.where(chance < F.try_element_at(share, F.col(lang))).select(F.col(text).alias("text"), F.col(lang).alias("lang")))
-    pieces = vocabulary()
-    probability = np.full((len(pieces) + 1, len(languages)), 1 / len(pieces))
+    pieces = Pieces(vocabulary())
+    probability = np.full((len(pieces.pieces) + 1, len(languages)), 1 / len(pieces.pieces))
     probability[-1] = UNKNOWN
     for _ in range(rounds):
-        sent = labelled.sparkSession.sparkContext.broadcast((languages, pieces, probability))
+        sent = labelled.sparkSession.sparkContext.broadcast((languages, vars(pieces), probability))
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            languages, names, p = sent.value
-            own = Pieces(names)
+            languages, state, p = sent.value
+            own = restored(Pieces, state)
             sums = np.zeros(p.shape)
             for batch in batches:
                 lang = np.array(column_of(batch, "lang").to_pylist(), object)
@@ -294,12 +294,14 @@ def identified(docs: DataFrame, model: Model | None, keep: list[str] | None = No
     if model is None:
         return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     text_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, vars(model.pieces), model.probability))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scored = sent.value.scored()
+        languages, state, probability = sent.value
+        own = Model(languages, restored(Pieces, state), probability)
+        scored = own.scored()
         for batch in batches:
-            names, scores = sent.value.scores(column_of(batch, "_text"), scored)
+            names, scores = own.scores(column_of(batch, "_text"), scored)
             yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
     schema = T.StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double")
