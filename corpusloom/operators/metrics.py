@@ -14,6 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.storage import by_value
+
+by_value(__name__)
+
 CHAR_ORDER, WORD_ORDER, BLEU_ORDER = 6, 2, 4
 #: Statistics of a row: hyp, ref and match of each order.
 CHRF = [f"{kind}{n}_{x}" for kind, most in (("c", CHAR_ORDER), ("w", WORD_ORDER)) for n in range(1, most + 1) for x in ("hyp", "ref", "match")]

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
-from corpusloom.storage import exists, files
+from corpusloom.storage import by_value, exists, files
+
+by_value(__name__)
 
 #: Ends of the names of files that a scan leaves out.
 ARCHIVES = (".tar", ".tgz", ".gz")
