@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,10 @@ def row_index(df: DataFrame, order: list[Column], name: str = "row_index") -> Da
     evaluation could deal them otherwise."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = checkpointed(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    counts = {r[0]: r[1] for r in ranged.groupBy("_part").count().collect()}  # one row a partition
-    start, at = {}, 0
-    for p in sorted(counts):
-        start[p], at = at, at + counts[p]
-    lookup = F.create_map(*[F.lit(x) for kv in start.items() for x in kv]) if start else F.create_map(F.lit(0), F.lit(0))
-    return ranged.withColumn(name, (F.element_at(lookup, F.col("_part")) + F.col("_place")).cast("long")).drop("_part", "_place")
+    counts = sorted((r[0], r[1]) for r in ranged.groupBy("_part").count().collect())  # one row a partition
+    starts = accumulate((n for _, n in counts), initial=0)
+    first = df.sparkSession.createDataFrame([(p, at) for (p, _), at in zip(counts, starts)], "_part int, _start long")
+    return ranged.join(F.broadcast(first), "_part").withColumn(name, F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
 
 
 def sampler_plan(df: DataFrame, seed: int, epoch: int, key: str, world: int, batch: int) -> DataFrame:
